@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing, wavelet
 
-QUERIES = {"op8_mixing": mixing.query}
+QUERIES = {"op3_wavelet": wavelet.query, "op8_mixing": mixing.query, "op9_packing": packing.query}
 ORACLE_SQL = {"op8_mixing": mixing.ORACLE_SQL}
