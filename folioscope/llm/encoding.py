@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -17,8 +18,18 @@ from .common import spans
 #: White space in the sense of any regular-expression library, but for blank and line feed.
 _OTHER_SPACE = re.compile("[\x09\x0b-\x0d\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Distinct pieces that a worker remembers; beyond that it starts afresh.
-CACHE_PIECES = 400_000
+#: Distinct pieces that a worker remembers; beyond that it forgets the rare ones.
+CACHE_PIECES = 600_000
+_MARKS = ",.;:!?%&$#*)"
+_SHARED: dict[tuple, PieceEncoder] = {}
+
+
+def shared_encoder(file: str, end_id: int, keeps_space: bool) -> PieceEncoder:
+    """One encoder for all tasks of a worker process."""
+    key = (file, end_id, keeps_space)
+    if key not in _SHARED:
+        _SHARED[key] = PieceEncoder(*key)
+    return _SHARED[key]
 
 
 class _Numbers(dict):
@@ -48,9 +59,29 @@ class PieceEncoder:
 
     def _clear(self):
         self.numbers = _Numbers()
-        self.lengths, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype), 0
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.known = 0
+        self.lengths, self.starts, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.pool, self.used, self.known = np.zeros(1 << 18, self.dtype), 0, 0
+
+    def _evict(self):
+        """Forgets the pieces that were met least, so that at most half of the allowed number stay."""
+        hits, least = self.hits[: self.known], 2
+        while (hits >= least).sum() > self.cache_pieces // 2:
+            least *= 2
+        keep = hits >= least
+        keys = [k for k, x in zip(self.numbers, keep.tolist(), strict=True) if x and k != "\1"]
+        at = np.fromiter(map(self.numbers.get, keys), np.int64, len(keys))
+        n, flat, counts = self.lengths[at], self.pool[spans(self.starts[at], self.lengths[at])], hits[at]
+        self._clear()
+        self.numbers.update(zip(keys, range(len(keys)), strict=True))
+        self._room(len(keys), len(flat))
+        self.pool[: len(flat)], self.used, self.known = flat, len(flat), len(keys)
+        self.lengths[: len(keys)], self.starts[: len(keys)], self.hits[: len(keys)] = n, np.cumsum(n) - n, counts // 2
+
+    def _room(self, pieces: int, ids: int):
+        while self.used + ids > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.known + pieces > len(self.lengths):
+            self.lengths, self.starts, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts, self.hits))
 
     def _pieces(self, text: str) -> list[str]:
         """Keys of the pieces: a word stands for itself after a blank, other pieces carry a mark first."""
@@ -70,25 +101,37 @@ class PieceEncoder:
         return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
 
     def _learn(self):
-        new, self.numbers.new = self.numbers.new, []
-        for i in range(0, len(new), 20_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([self._text(k) for k in new[i : i + 20_000]], add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for y in ids for x in y), self.dtype, int(n.sum()))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            while self.known + len(ids) > len(self.lengths):
-                self.lengths, self.starts = np.resize(self.lengths, 2 * len(self.lengths)), np.resize(self.starts, 2 * len(self.starts))
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.lengths[self.known : self.known + len(ids)] = n
-            self.starts[self.known : self.known + len(ids)] = self.used + np.cumsum(n) - n
-            self.used += len(flat)
-            self.known += len(ids)
+        """Ids of the new pieces. Marks at the end of a word are pieces of their own, so that words with and without them share their ids."""
+        new, plain, joined = self.numbers.new, [], []
+        for i, key in enumerate(new):  # grows while it runs
+            word = key.rstrip(_MARKS)
+            if len(word) < len(key) and word[-1:].isalpha():
+                joined.append((i, self.numbers[word], self.numbers["\0" + key[len(word) :] if self.keeps_space else key[len(word) :]]))
+            else:
+                plain.append(i)
+        self.numbers.new = []
+        n = np.zeros(len(new), np.int64)
+        ids = [e.ids for j in range(0, len(plain), 20_000) for e in self.tokenizer.encode_batch_fast([self._text(new[i]) for i in plain[j : j + 20_000]], add_special_tokens=False)]
+        n[plain] = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = self.known
+        self._room(len(new), 0)
+        self.lengths[first : first + len(new)] = n
+        at, word, mark = np.array(joined, np.int64).reshape(-1, 3).T
+        self.lengths[first + at] = self.lengths[word] + self.lengths[mark]
+        n = self.lengths[first : first + len(new)]
+        self._room(len(new), int(n.sum()))
+        starts = self.used + np.cumsum(n) - n
+        self.starts[first : first + len(new)] = starts
+        self.pool[spans(starts[plain], n[plain])] = np.fromiter(chain.from_iterable(ids), self.dtype, int(n[plain].sum()))
+        for piece, shift in ((word, 0), (mark, self.lengths[word])):
+            self.pool[spans(starts[at] + shift, self.lengths[piece])] = self.pool[spans(self.starts[piece], self.lengths[piece])]
+        self.used += int(n.sum())
+        self.known += len(new)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another and the number of each text's, with the end id."""
         if len(self.numbers) > self.cache_pieces:
-            self._clear()
+            self._evict()
         keys, counts = [], []
         for text in texts:
             found = self._pieces(text or "")
@@ -99,6 +142,7 @@ class PieceEncoder:
             self._end()
         at = np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
         self._learn()
+        self.hits[: self.known] += np.bincount(at, minlength=self.known)
         n = self.lengths[at]
         flat = self.pool[spans(self.starts[at], n)]
         ends = np.cumsum(np.asarray(counts, np.int64))
@@ -107,7 +151,9 @@ class PieceEncoder:
 
     def _end(self):
         self._learn()
+        self._room(1, 1)
         self.numbers["\1"] = self.known
+        self.numbers.new.clear()
         self.pool[self.used] = self.end_id
         self.starts[self.known], self.lengths[self.known] = self.used, 1
         self.used += 1

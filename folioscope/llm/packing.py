@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
-from .encoding import PieceEncoder, batches
+from .encoding import batches, shared_encoder
 from .wavelet import tokenizer_file
 
 WINDOW = 2048
@@ -29,7 +29,7 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """part, doc_id, place (ids before it in its part), n, ids (unsigned little-endian, 16 bits where the vocabulary allows)."""
 
     def encode_all(stream):
-        encode = PieceEncoder(tokenizer, end_id, keeps_space=False)
+        encode = shared_encoder(tokenizer, end_id, False)
         part, place = TaskContext.get().partitionId(), 0
         for batch in stream:
             for texts, rest in batches(batch):

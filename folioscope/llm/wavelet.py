@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import fresh_path, open_shared, parts, replace_shared, text_bytes, written
-from .encoding import PieceEncoder, batches
+from .encoding import batches, shared_encoder
 
 MAGIC = b"FWM1"
 END_ID = 2
@@ -163,7 +163,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     rows = rows.repartitionByRange(n, F.asc_nulls_first("doc_id"), "_tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "_tie").drop("_tie")
 
     def write(stream):
-        encode = PieceEncoder(tokenizer, end_id, keeps_space=True)
+        encode = shared_encoder(tokenizer, end_id, True)
         context = TaskContext.get()
         part, attempt, seq = context.partitionId(), context.taskAttemptId(), 0
         ids, lengths, doc_ids, held = [], [], [], 0
