@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, license_scan, maxent_lm, mixing, packing, toxicity, url_filter, wavelet
+from . import jaccard_join, license_scan, maxent_lm, mixing, packing, toxicity, url_filter, vamana, wavelet
 
-QUERIES = {"op1_license_scan": license_scan.query, "op2_maxent_lm": maxent_lm.query, "op3_wavelet": wavelet.query, "op5_url_filter": url_filter.query, "op6_jaccard_join": jaccard_join.query, "op7_toxicity": toxicity.query, "op8_mixing": mixing.query, "op9_packing": packing.query}
+QUERIES = {"op1_license_scan": license_scan.query, "op2_maxent_lm": maxent_lm.query, "op3_wavelet": wavelet.query, "op4_vamana": vamana.query, "op5_url_filter": url_filter.query, "op6_jaccard_join": jaccard_join.query, "op7_toxicity": toxicity.query, "op8_mixing": mixing.query, "op9_packing": packing.query}
 ORACLE_SQL = {"op1_license_scan": license_scan.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL, "op6_jaccard_join": jaccard_join.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
