@@ -8,9 +8,10 @@ per band is the one of least cost, signatures plus expected chance meetings. A s
 band below if that may hold a smaller partner.
 
 Equal sets are one class first. Per signature every class is compared with the smallest one; the links so found give
-components, and then all pairs of a signature that lie in different components are compared too. So no similar pair goes
-unseen unless it is already connected, and a large group of near copies costs a star and not all its pairs. Sets are compared
-exactly, as sets of 64-bit shingle hashes; classes are 64-bit fingerprints of sets.
+components, and then all pairs of a signature that lie in different components are compared too, but for those whose parity
+bitmaps differ in more bits than similar sets have different shingles (a bound that no pair escapes, tested inside the join).
+So no similar pair goes unseen unless it is already connected, and a large group of near copies costs a star and not all its
+pairs. Sets are compared exactly, as sets of 64-bit shingle hashes; classes are 64-bit fingerprints of sets.
 
 Defined results: a text of fewer words than a shingle is one shingle; no words or null text: an empty set, its own component;
 a row with a null id links its neighbours and gets their smallest id; repeated rows are one class; long texts are read
@@ -35,6 +36,7 @@ SHINGLE = 3
 PERCENT = 90
 BAND_RATIO = 1.25
 CACHE_WORDS = 400_000
+BITMAP = 1024
 _U = np.uint64
 
 
@@ -144,8 +146,22 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
     return np.concatenate(parts)[order], np.bincount(owner, minlength=len(sets))
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity of the number of shingles at each of ``BITMAP`` places, as 64-bit words; sets in d shingles different differ in d bits at most."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = (np.concatenate(sets) & _U(BITMAP - 1)).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(sets)) * BITMAP, sizes) + flat, minlength=len(sets) * BITMAP).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def may_be_similar(n1, n2, bits1, bits2, percent: int = PERCENT):
+    """False only for pairs whose bitmaps prove that they differ in too many shingles."""
+    differ = sum((F.bit_count(F.get(bits1, F.lit(i)).bitwiseXOR(F.get(bits2, F.lit(i)))) for i in range(BITMAP // 64)), F.lit(0))
+    return differ * (100 + percent) <= (n1 + n2) * (100 - percent)
+
+
 def digests(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (set size), v (class), signatures."""
+    """doc_id, n (set size), v (class), bits, signatures."""
 
     def run(stream):
         with np.errstate(over="ignore"):
@@ -156,10 +172,11 @@ def digests(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
                     offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
                     yield pa.record_batch({
                         "doc_id": rest.column("doc_id").cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "v": pa.array([fingerprint(s) for s in sets], pa.int64()),
+                        "bits": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITMAP // 64)), pa.array(bitmaps(sets))),
                         "signatures": pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))),
                     })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, v long, signatures array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, v long, bits array<long>, signatures array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -211,8 +228,10 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[
     named = written(named.select("s", "v", "n", "label"), "jaccard-named")
     mixed = named.groupBy("s").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("v").alias("center"), F.count(F.lit(1)).alias("k")).filter("l <> m and k > 2").select("s", "center")
     opened = named.join(mixed, "s").filter("v <> center")  # pairs with the smallest class are known
-    left, right = (opened.select("s", *[F.col(c).alias(c + k) for c in ("v", "n", "label")]) for k in "12")
-    rest = left.join(right, "s").filter("v1 < v2 and label1 <> label2").filter(similar_lengths(F.col("n1"), F.col("n2"), percent)).select(F.col("v1").alias("a"), F.col("v2").alias("b")).distinct()
+    opened = written(opened.join(rows.select("v", "bits").dropDuplicates(["v"]), "v"), "jaccard-open")
+    left, right = (opened.select(*[F.col(c).alias(c + k) for c in ("s", "v", "n", "label", "bits")]) for k in "12")
+    near = (F.col("s1") == F.col("s2")) & (F.col("v1") < F.col("v2")) & (F.col("label1") != F.col("label2")) & similar_lengths(F.col("n1"), F.col("n2"), percent)
+    rest = left.join(right, near & may_be_similar(*map(F.col, ("n1", "n2", "bits1", "bits2")), percent)).select(F.col("v1").alias("a"), F.col("v2").alias("b")).distinct()
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "jaccard-rest")
     if rest.limit(1).count():
         more = written(verified(docs, rest, classes, size, percent), "jaccard-links")

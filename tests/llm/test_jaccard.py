@@ -62,6 +62,8 @@ def test_similar_sets_share_a_signature():
         b = np.unique(np.concatenate([rng.permutation(a)[:both], rng.integers(0, 2**64, int(extra), np.uint64)]))
         i = len(np.intersect1d(a, b))
         if 100 * i >= 90 * (len(a) + len(b) - i) and i < max(len(a), len(b)):
+            words = J.bitmaps([a, b]).view(np.uint64).reshape(2, -1)
+            assert 190 * int(np.bitwise_count(words[0] ^ words[1]).sum()) <= 10 * (len(a) + len(b))
             with np.errstate(over="ignore"):
                 flat, count = J.signatures([a, b])
             assert set(flat[: count[0]].tolist()) & set(flat[count[0] :].tolist())
