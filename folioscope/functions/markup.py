@@ -11,6 +11,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Entities that are decoded by name.
 ENTITIES = "amp lt gt quot apos nbsp eacute egrave ecirc agrave acirc ccedil ocirc icirc ucirc ugrave laquo raquo rsquo lsquo ldquo rdquo hellip ndash mdash".split()
@@ -27,7 +28,7 @@ def decode(text: str) -> str:
     return _ENTITY.sub(one, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
     """Numeric and the common named entities."""
     return text.map(decode, na_action="ignore")
@@ -60,12 +61,12 @@ def relative(base: str, target: str) -> str:
     return posixpath.relpath(target, posixpath.dirname(base) or ".")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve_path(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or h is None else resolve(b, h) for b, h in zip(base, href, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def relative_path(base: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or t is None else relative(b, t) for b, t in zip(base, target, strict=True)])
 
@@ -81,11 +82,11 @@ def first_json(text: str, opener: str = "{") -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_object(text: pd.Series) -> pd.Series:
     return text.map(first_json, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_array(text: pd.Series) -> pd.Series:
     return text.map(lambda t: first_json(t, "["), na_action="ignore")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import same_title, truth_key, upper_median
+from .fold import fold
 
 
 def greedy_match(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -16,16 +16,16 @@ def greedy_match(found: DataFrame, truth: DataFrame) -> DataFrame:
     t = t.withColumn("page_index", F.explode(F.sequence(F.col("p") - 1, F.col("p") + 1))).alias("t")
     pairs = f.join(t, (F.col("f.doc_id") == F.col("t.doc_id")) & (F.col("f.page_index") == F.col("t.page_index")) & same_title(F.col("k"), F.col("tk"))).select("f.doc_id", "seq", "truth_seq")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def take(rows: list[dict]) -> list[dict]:
         used, taken, out = set(), set(), []
-        for r in rows.sort_values(["seq", "truth_seq"]).itertuples(index=False):
-            if r.seq not in taken and r.truth_seq not in used:
-                taken.add(r.seq)
-                used.add(r.truth_seq)
-                out.append((r.doc_id, r.seq, r.truth_seq))
-        return pd.DataFrame(out, columns=["doc_id", "seq", "truth_seq"])
-
-    return pairs.groupBy("doc_id").applyInPandas(fold, "doc_id long, seq int, truth_seq int")
+        for r in sorted(rows, key=lambda r: (r["seq"], r["truth_seq"])):
+            if r["seq"] not in taken and r["truth_seq"] not in used:
+                taken.add(r["seq"])
+                used.add(r["truth_seq"])
+                out.append(r)
+        return out
+
+    return fold(pairs, ["doc_id"], take, "doc_id long, seq int, truth_seq int")
 
 
 def prf(found: DataFrame, truth: DataFrame) -> DataFrame:

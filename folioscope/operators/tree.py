@@ -20,8 +20,8 @@ def densify_levels(rows: DataFrame, key: str = "doc_id", level: str = "level", m
 def tree(rows: DataFrame, order: list, key: str = "doc_id", level: str = "level") -> DataFrame:
     """Adds seq, depth and parent_seq (null for a root).
 
-    A row stands one below the last row of a lesser level. With places from 1 its depth is its place plus the least, over it
-    and the rows before, of level - place, or its place if that is positive; the parent is the last row one depth up.
+    A row's depth is its level, but at most one more than the depth before; its parent is the last row one depth up. With
+    places from 1 the depth is the place plus the least of 0 and, over this row and those before, of level - place.
     """
     document = Window.partitionBy(key)
     rows = rows.withColumn("seq", F.row_number().over(document.orderBy(*order)))

@@ -9,6 +9,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
 from ..functions.markup import attribute, decode_entities, resolve, resolve_path, strip_tags
@@ -46,7 +47,7 @@ def zip_entries(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").mapInPandas(run, ZIP_ENTRY)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def inflate_entry(method: pd.Series, raw: pd.Series) -> pd.Series:
     """Bytes of a stored or deflated entry; null for other methods or damaged data."""
 
