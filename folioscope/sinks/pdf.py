@@ -92,6 +92,10 @@ def write_outline(data: bytes, rows: list[dict]) -> bytes:
         gen = root.gen if num == root.num else 0
         offsets[num] = len(out), gen
         out += b"%d %d obj\n%s\nendobj\n" % (num, gen, body)
+    if pdf.start < 0:  # a damaged file gets a whole table, since there is none to continue
+        if any(e and e[0] == "in" for e in pdf.xref.values()):
+            raise ValueError("a damaged file with object streams")
+        offsets = {n: (e[1], e[2]) for n, e in pdf.xref.items() if e} | offsets
     at, top = len(out), max(bodies) + 1
     trailer = {k: pdf.trailer[k] for k in ("Root", "Info", "ID") if k in pdf.trailer}
     if pdf.start >= 0:

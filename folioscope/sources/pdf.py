@@ -259,6 +259,7 @@ class Pdf:
 
     def _scan(self):
         """A damaged file: every ``n g obj`` counts, the last of a number; the catalog is looked for."""
+        self.start = -1
         self.xref, self._cache = {int(m[1]): ("at", m.start(), int(m[2])) for m in re.finditer(rb"(?<!\d)(\d{1,9})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+obj\b", self.data)}, {}
         for m in re.finditer(rb"trailer", self.data):
             try:

@@ -50,8 +50,8 @@ def test_pasted_folds():
 
 def test_printed_folds():
     r = lambda t, x=0.0: {"text": t, "x": x, "size": 10.0}
-    out = stitch([r("Part I"), r("1 Start .... 3", 20.0), r("A title that is", 20.0), r("broken .... 9", 20.0), r("The end", 200.0)])
-    assert [(e["title"], e["printed"]) for e in out] == [("Part I", None), ("1 Start", 3), ("A title that is broken", 9), ("The end", None)]
+    out = stitch([r("Opening part"), r("1 Start .... 3", 20.0), r("A title that is", 20.0), r("broken .... 9", 20.0), r("The end", 200.0)])
+    assert [(e["title"], e["printed"]) for e in out] == [("Opening part", None), ("1 Start", 3), ("A title that is broken", 9), ("The end", None)]
     printed_levels(out)
     assert [e["level"] for e in out] == [1, 2, 2, 3]
 
