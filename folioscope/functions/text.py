@@ -51,8 +51,9 @@ def norm_key(text: Column) -> Column:
 
 
 def _without_folios(text: Column) -> Column:
+    # word borders are those of ASCII: an accented letter is none of the word
     text = F.regexp_replace(text, r"[0-9]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\b[ivxlcdm]{1,7}\b", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?<![A-Za-z0-9_])[ivxlcdm]{1,7}(?![A-Za-z0-9_])", " "), " +", " "))
 
 
 def running_key(text: Column) -> Column:

@@ -248,7 +248,7 @@ def prune_levels(spark, sf_dir):
     return tree.prune_levels(rows, pages).groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with e as (select distinct user_id as doc_id, (epoch(ts)::bigint // 3600)::bigint as page_index from events), g as (select *, case when page_index - lag(page_index) over (partition by doc_id order by page_index) <= 24 then 0 else 1 end as s from e)
+@query("""with e as (select distinct user_id as doc_id, floor(epoch(ts) / 3600)::bigint as page_index from events), g as (select *, case when page_index - lag(page_index) over (partition by doc_id order by page_index) <= 24 then 0 else 1 end as s from e)
 select doc_id, page_index, sum(s) over (partition by doc_id order by page_index)::int as block from g""")
 def page_blocks(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.floor(F.unix_timestamp("ts") / 3600).alias("page_index")).distinct()
