@@ -8,8 +8,8 @@ the one that best parts the rules' own decisions (greatest difference of the two
 The model has 32 ** (ORDER + 1) cells whatever the input, which bounds what is sent to the driver and to the tasks.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and is judged by its symbols (a null
-or empty one scores 0); without URLs of both verdicts the scores and the threshold are 0, so the rest is allowed; repeated
-rows and null ids are kept; an empty table gives an empty one; other columns are ignored.
+or empty one scores 0); where the rules decide no URL, scores are 0 and the rest is blocked, as nothing speaks for it; where they
+decide all one way, the other model is uniform and the threshold is the least score of a decided URL; repeated rows and null ids are kept; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,14 +48,19 @@ def longest_rule(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def grams(url: Column, order: int = ORDER) -> Column:
-    """Numbers of the runs of order + 1 symbols, one for each symbol; before the first stand symbols of the last kind."""
+def grams(url: Column, order: int = ORDER) -> tuple[Column, Column]:
+    """Codes of the symbols (to be named ``_codes``) and numbers of the runs of order + 1 codes, one for each symbol; before
+    the first stand symbols of the last kind."""
     text = F.coalesce(F.regexp_replace(url, r"(?s)^.*?://", ""), F.lit(""))
     text = F.translate(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _OTHER, "`"), _FROM, _TO)
     codes = F.transform(F.split(F.concat(F.lit("`" * order), text), ""), lambda c: F.ascii(c) - 65)
     codes = F.filter(codes, lambda c: c >= 0)
-    key = lambda i: sum((F.get(F.col("_codes"), i + k) * SYMBOLS ** (order - k) for k in range(order + 1)), F.lit(0))
-    return codes, F.transform(F.when(F.size("_codes") > order, F.sequence(F.lit(0), F.size("_codes") - order - 1)).otherwise(F.array().cast("array<int>")), key)
+    n = F.greatest(F.size("_codes") - order, F.lit(0))
+    # slices side by side: a lambda that names the array of codes would make it anew for every symbol
+    runs = F.slice("_codes", F.lit(1), n)
+    for k in range(1, order + 1):
+        runs = F.zip_with(runs, F.slice("_codes", F.lit(1 + k), n), lambda a, b: a * SYMBOLS + b)
+    return codes, runs
 
 
 def train(labelled: DataFrame, order: int = ORDER, strength: int = STRENGTH) -> DataFrame:
@@ -83,7 +88,7 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, strength: int = STR
     rows = rows.withColumn("_codes", codes).withColumn("_grams", runs)
     labelled = rows.filter(F.col("_ruled").isNotNull()).select(F.col("_ruled").alias("verdict"), "_grams")
     kinds = {r[0]: r[1] for r in labelled.groupBy("verdict").count().collect()}
-    if len(kinds) == 2:
+    if kinds:
         weights = [0] * SYMBOLS ** (order + 1)
         for r in train(labelled, order, strength).filter("weight <> 0").collect():  # at most 32 ** (order + 1) rows
             weights[r.cell] = r.weight
@@ -93,10 +98,10 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, strength: int = STR
         score = F.floor(total / (n * F.lit(1000.0))).cast("long")
         bins = rows.filter(F.col("_ruled").isNotNull()).withColumn("score", score).groupBy("score").agg(F.count_if(F.col("_ruled") == "allow").alias("a"), F.count_if(F.col("_ruled") == "block").alias("r"))
         above = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # one row per score
-        gain = F.sum("a").over(above).cast("double") * kinds["block"] - F.sum("r").over(above).cast("double") * kinds["allow"]
-        threshold = bins.withColumn("gain", gain).orderBy(F.desc("gain"), "score").first().score
+        gain = F.sum("a").over(above).cast("double") * kinds.get("block", 0) - F.sum("r").over(above).cast("double") * kinds.get("allow", 0)
+        threshold = F.lit(bins.withColumn("gain", gain).orderBy(F.desc("gain"), "score").first().score)
     else:
-        score, threshold = F.lit(0).cast("long"), 0
+        score, threshold = F.lit(0).cast("long"), F.lit(None).cast("long")
     rows = rows.withColumn("score", score)
     return rows.select("page_id", "host", "path", "rule", F.coalesce("_ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
 
