@@ -13,6 +13,10 @@ bitmaps differ in more bits than similar sets have different shingles (a bound t
 So no similar pair goes unseen unless it is already connected, and a large group of near copies costs a star and not all its
 pairs. Sets are compared exactly, as sets of 64-bit shingle hashes; classes are 64-bit fingerprints of sets.
 
+With ``rare`` the signatures of a set of n shingles are its n - ceil(t n) + 1 rarest shingles instead, in one order of all shingles
+(how often they occur, then hash): two sets of similarity t share one of those. A shingle that occurs once is met by nobody
+and only counts. At low thresholds this takes far fewer signatures than segments, which must then be small.
+
 Defined results: a text of fewer words than a shingle is one shingle; no words or null text: an empty set, its own component;
 a row with a null id links its neighbours and gets their smallest id; repeated rows are one class; long texts are read
 whole; an empty table gives an empty one; other columns are ignored.
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import parts, text_bytes, written
 from .components import components
 from .encoding import batches
 
@@ -37,6 +41,8 @@ PERCENT = 90
 BAND_RATIO = 1.25
 CACHE_WORDS = 400_000
 BITMAP = 1024
+#: Bytes of text for each bucket of shingles that are counted together, and characters whose shingles go there as one row.
+BUCKET_TEXT, CUT_TEXT = 8 << 20, 2 << 20
 _U = np.uint64
 
 
@@ -160,15 +166,15 @@ def may_be_similar(n1, n2, bits1, bits2, percent: int = PERCENT):
     return differ * (100 + percent) <= (n1 + n2) * (100 - percent)
 
 
-def digests(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (set size), v (class), bits, signatures."""
+def digests(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rare: bool = False) -> DataFrame:
+    """doc_id, n (set size), v (class), bits, signatures (none with ``rare``)."""
 
     def run(stream):
         with np.errstate(over="ignore"):
             for batch in stream:
                 for texts, rest in batches(batch, 2 << 20):
                     sets = [shingles(t, size) for t in texts]
-                    flat, count = signatures(sets, percent)
+                    flat, count = (np.zeros(0, _U), np.zeros(len(sets), np.int64)) if rare else signatures(sets, percent)
                     offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
                     yield pa.record_batch({
                         "doc_id": rest.column("doc_id").cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "v": pa.array([fingerprint(s) for s in sets], pa.int64()),
@@ -179,6 +185,78 @@ def digests(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, v long, bits array<long>, signatures array<long>")
 
 
+def rarest(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """v (class), n (set size), s: the rarest shingles of each set, but for those that occur once."""
+    buckets = parts(text_bytes(docs), BUCKET_TEXT)
+    schema = "bucket int, batch long, sets binary, entries binary"
+    of_set, of_entry = np.dtype([("v", "<i8"), ("n", "<i8")]), np.dtype([("set", "<u2"), ("low", "<u4")])
+    of_common = np.dtype([("set", "<u2"), ("low", "<u4"), ("times", "<u4")])
+
+    def cut(stream):
+        """Per group of texts a row with its sets, and a row of shingles for each bucket."""
+        from pyspark import TaskContext
+
+        batch_id = TaskContext.get().partitionId() << 32
+        with np.errstate(over="ignore"):
+            for batch in stream:
+                for texts, _ in batches(batch, CUT_TEXT):
+                    sets = list({fingerprint(x): x for t in texts if len(x := shingles(t, size))}.items())
+                    for first in range(0, len(sets), 1 << 16):
+                        some = sets[first : first + (1 << 16)]
+                        flat = np.concatenate([x for _, x in some])
+                        bucket = ((flat >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
+                        entries = np.empty(len(flat), of_entry)
+                        entries["set"], entries["low"] = np.repeat(np.arange(len(some)), [len(x) for _, x in some]), flat & _U(0xFFFFFFFF)
+                        entries = entries[np.argsort(bucket, kind="stable")]
+                        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+                        used = np.flatnonzero(np.diff(ends, prepend=0))
+                        blobs = [entries[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends])[used].tolist(), ends[used].tolist(), strict=True)]
+                        about = np.array([(v, len(x)) for v, x in some], of_set).tobytes()
+                        yield pa.record_batch({
+                            "bucket": pa.array([batch_id % buckets, *used.tolist()], pa.int32()), "batch": pa.array([batch_id] * (1 + len(used)), pa.int64()),
+                            "sets": pa.array([about, *[None] * len(used)], pa.binary()), "entries": pa.array([None, *blobs], pa.binary()),
+                        })
+                        batch_id += 1
+
+    def count(table):
+        """The shingles of a bucket that occur more than once, with how often they do."""
+        about = table.filter(table.column("entries").is_null())
+        rest = table.filter(table.column("entries").is_valid())
+        parts_ = [np.frombuffer(x.as_buffer(), of_entry) for x in rest.column("entries")]
+        if not parts_:
+            return about
+        low = np.concatenate([x["low"] for x in parts_])
+        _, at, times = np.unique(low, return_inverse=True, return_counts=True)
+        times, out, start = times[at], [], 0
+        for x in parts_:
+            own = times[start : start + len(x)]
+            start += len(x)
+            some = own > 1
+            common = np.empty(int(some.sum()), of_common)
+            common["set"], common["low"], common["times"] = x["set"][some], x["low"][some], np.minimum(own[some], 0xFFFFFFFF)
+            out.append(common.tobytes())
+        return pa.concat_tables([about, rest.set_column(rest.schema.get_field_index("entries"), "entries", pa.array(out, pa.binary()))])
+
+    def choose(table):
+        """The first shingles of each set of a group of texts."""
+        about = np.frombuffer(next(x for x in table.column("sets") if x.is_valid).as_buffer(), of_set)
+        found = [(b, np.frombuffer(x.as_buffer(), of_common)) for b, x in zip(table.column("bucket").to_pylist(), table.column("entries"), strict=True) if x.is_valid]
+        entries = np.concatenate([np.zeros(0, of_common), *[x for _, x in found]])
+        name = np.repeat(np.array([b for b, _ in found], _U), [len(x) for _, x in found]) << _U(32) | entries["low"]
+        order = np.lexsort((name, entries["times"], entries["set"]))
+        own, name = entries["set"][order].astype(np.int64), name[order]
+        common = np.bincount(own, minlength=len(about))
+        rank = np.arange(len(own)) - (np.cumsum(common) - common)[own]
+        n = about["n"]
+        taken = rank < (n - -(-n * percent // 100) + 1 - (n - common))[own]
+        own, name = own[taken], name[taken]
+        return pa.table({"v": about["v"][own], "n": n[own], "s": name.view(np.int64)})
+
+    cuts = docs.select("doc_id", "text").mapInArrow(cut, schema)
+    common = written(cuts.groupBy("bucket").applyInArrow(count, schema), "jaccard-common")
+    return common.groupBy("batch").applyInArrow(choose, "v long, n long, s long").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the similarity."""
     wanted = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
@@ -213,11 +291,15 @@ def similar_lengths(p, q, percent: int = PERCENT):
     return F.least(p, q) * 100 >= F.greatest(p, q) * percent
 
 
-def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Per document: doc_id, n_shingles, class_id, component_id; and the links between classes that connect them: a, b."""
-    rows = written(digests(docs, size, percent), "jaccard-digests")
+def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rare: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Per document: doc_id, n_shingles, class_id, component_id, set (class) and label (the smallest class of the component;
+    null for an empty set); and the links between classes that connect them: a, b."""
+    rows = written(digests(docs, size, percent, rare), "jaccard-digests")
     classes = written(rows.filter("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
-    once = rows.filter(F.size("signatures") > 0).dropDuplicates(["v"]).select("v", "n", F.explode("signatures").alias("s"))
+    if rare:
+        once = written(rarest(docs, size, percent), "jaccard-rarest")
+    else:
+        once = rows.filter(F.size("signatures") > 0).dropDuplicates(["v"]).select("v", "n", F.explode("signatures").alias("s"))
     once = once.repartition("s")  # one exchange for the smallest class and for its partners
     least = once.groupBy("s").agg(F.min(F.struct("v", "n")).alias("c"), F.max("v").alias("most")).filter("c.v <> most")
     shared = written(once.join(least, "s").select("s", "v", "n", F.col("c.v").alias("center"), F.col("c.n").alias("center_n")).distinct(), "jaccard-shared")
@@ -239,10 +321,10 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[
             found = found.union(more)
             labels = components(found)
     members = labels.join(classes, "v").groupBy("label").agg(F.min("rep").alias("component"))
-    grouped = written(labels.join(members, "label").select("v", "component"), "jaccard-components")
+    grouped = written(labels.join(members, "label").select("v", "component", "label"), "jaccard-components")
     out = rows.select("doc_id", "n", "v").join(classes.select("v", "rep"), "v", "left").join(grouped, "v", "left")
     empty = F.col("n") == 0
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"), F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"), F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"), F.col("v").alias("set"), F.when(~empty, F.coalesce("label", "v")).alias("label"))
     return out, found
 
 
