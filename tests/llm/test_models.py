@@ -92,3 +92,13 @@ def test_audio_alignment(spark):
     for i in range(0, len(p) - 30, 7):  # a shared run of a window's length shares a key
         whole, own = chroma.runs(p), chroma.runs(p[i : i + 30])
         assert set(whole[chroma.winnow(whole)].tolist()) & set(own[chroma.winnow(own)].tolist())
+
+
+def test_noisy_and_shifted_recordings_meet(spark):
+    rng = np.random.default_rng(4)
+    a = (128 + 60 * np.sin(np.cumsum(rng.normal(0.3, 0.15, 20_000)))).astype(np.uint8)
+    noisy = lambda x, much: np.clip(x + rng.normal(0, much, len(x)), 0, 255).astype(np.uint8)
+    rows = [(20, a), (1, noisy(a, 6)), (2, a[32:]), (3, a[17:]), (4, noisy(a[40:], 10)), (5, noisy(a[64 * 50 + 21 : 64 * 250], 4))]
+    got = chroma.align(spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in rows], "doc_id long, audio binary"))[0].collect()
+    assert all(r.best_id == 20 and 0 < r.best_error < 0.2 for r in got if r.doc_id != 20)
+    assert abs({r.doc_id: r for r in got}[5].best_offset + 50) <= 1
