@@ -2,7 +2,9 @@
 
 Both vocabularies cut a text before they merge: the byte-level one never joins the characters on the two sides of a change
 from other characters to white space, the word one drops white space. Encoding the pieces between such places one by one
-therefore gives the ids of the whole text. A text with white space other than blanks and line feeds is encoded whole.
+therefore gives the ids of the whole text. Encoded whole are texts that hold one of the file's added tokens, texts with control
+characters, and, where ids hold the white space, those with white space or marks of layout other than blanks and line feeds.
+The ids are those of the library's plain call: the string of an added token in a text gives that token's id.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ import numpy as np
 
 from .common import spans
 
-#: White space in the sense of any regular-expression library, but for blank and line feed.
-_OTHER_SPACE = re.compile("[\x09\x0b-\x0d\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Distinct pieces that a worker remembers; beyond that it forgets the rare ones.
 CACHE_PIECES = 600_000
+#: Their characters; pieces longer than the second number are the first to go.
+CACHE_CHARS, LONG_PIECE = 24 << 20, 200
 _MARKS = ",.;:!?%&$#*)"
 _SHARED: dict[tuple, PieceEncoder] = {}
 
@@ -36,11 +39,12 @@ class _Numbers(dict):
     """Piece -> number in order of arrival."""
 
     def __init__(self):
-        self.new = []
+        self.new, self.chars = [], 0
 
     def __missing__(self, key):
         self[key] = n = len(self)
         self.new.append(key)
+        self.chars += len(key)
         return n
 
 
@@ -52,7 +56,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id, self.keeps_space, self.cache_pieces = end_id, keeps_space, cache_pieces
         self.dtype = np.uint16 if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else np.uint32
         self._clear()
@@ -68,11 +72,12 @@ class PieceEncoder:
         while (hits >= least).sum() > self.cache_pieces // 2:
             least *= 2
         keep = hits >= least
-        keys = [k for k, x in zip(self.numbers, keep.tolist(), strict=True) if x and k != "\1"]
+        keys = [k for k, x in zip(self.numbers, keep.tolist(), strict=True) if x and k is not None and len(k) <= LONG_PIECE]
         at = np.fromiter(map(self.numbers.get, keys), np.int64, len(keys))
         n, flat, counts = self.lengths[at], self.pool[spans(self.starts[at], self.lengths[at])], hits[at]
         self._clear()
         self.numbers.update(zip(keys, range(len(keys)), strict=True))
+        self.numbers.chars = sum(map(len, keys))
         self._room(len(keys), len(flat))
         self.pool[: len(flat)], self.used, self.known = flat, len(flat), len(keys)
         self.lengths[: len(keys)], self.starts[: len(keys)], self.hits[: len(keys)] = n, np.cumsum(n) - n, counts // 2
@@ -84,28 +89,30 @@ class PieceEncoder:
             self.lengths, self.starts, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts, self.hits))
 
     def _pieces(self, text: str) -> list[str]:
-        """Keys of the pieces: a word stands for itself after a blank, other pieces carry a mark first."""
-        if not self.keeps_space:
-            return text.replace("\n", " ").split(" ")
-        if _OTHER_SPACE.search(text):
+        """Keys of the pieces: a word stands for itself after a blank, other pieces carry a mark first, which no piece holds."""
+        flat = text.replace("\n", " ")
+        if not flat.isprintable() and (self.keeps_space or _CONTROL.search(flat)) or any(t in text for t in self.added):
             return ["\0" + text]
-        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
+        if not self.keeps_space:
+            return flat.split(" ")
+        if "  " in flat:
             return ["\0" + p for p in _PIECES.findall(text)]
         found = text.replace("\n", " \n").split(" ")
         found[0] = "\0" + found[0]
         return found
 
     def _text(self, key: str) -> str:
-        if not self.keeps_space:
-            return key
-        return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
+        if key[:1] == "\0":
+            return key[1:]
+        return key if not self.keeps_space or key[:1] == "\n" else " " + key
 
     def _learn(self):
         """Ids of the new pieces. Marks at the end of a word are pieces of their own, so that words with and without them share their ids."""
         new, plain, joined = self.numbers.new, [], []
         for i, key in enumerate(new):  # grows while it runs
             word = key.rstrip(_MARKS)
-            if len(word) < len(key) and word[-1:].isalpha():
+            # the capital I with a dot has a mark behind it in lower case
+            if len(word) < len(key) and word[-1:].isalpha() and word[-1] < "\u0250" and word[-1] != "İ" and key[:1] != "\0":
                 joined.append((i, self.numbers[word], self.numbers["\0" + key[len(word) :] if self.keeps_space else key[len(word) :]]))
             else:
                 plain.append(i)
@@ -130,15 +137,15 @@ class PieceEncoder:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another and the number of each text's, with the end id."""
-        if len(self.numbers) > self.cache_pieces:
+        if len(self.numbers) > self.cache_pieces or self.numbers.chars > CACHE_CHARS:
             self._evict()
         keys, counts = [], []
         for text in texts:
             found = self._pieces(text or "")
-            found.append("\1")  # the end
+            found.append(None)  # the end
             counts.append(len(found))
             keys += found
-        if "\1" not in self.numbers:
+        if None not in self.numbers:
             self._end()
         at = np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
         self._learn()
@@ -152,7 +159,7 @@ class PieceEncoder:
     def _end(self):
         self._learn()
         self._room(1, 1)
-        self.numbers["\1"] = self.known
+        self.numbers[None] = self.known
         self.numbers.new.clear()
         self.pool[self.used] = self.end_id
         self.starts[self.known], self.lengths[self.known] = self.used, 1

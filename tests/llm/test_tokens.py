@@ -18,11 +18,17 @@ ENCODERS = {}
 
 def plain(file, texts, end):
     t = ENCODERS.setdefault(file, Tokenizer.from_file(file))
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
-@settings(max_examples=150, deadline=None)
+def test_reserved_strings_give_the_ids_of_the_plain_call():
+    texts = ["a \1 b", "x \0abc d", "<|endoftext|> hi", "say <|startoftext|>", "İ.", "\0end", "plain"]
+    for file, keeps in ((BYTE, True), (WORD, False)):
+        flat, n = PieceEncoder(file, 2, keeps)(texts)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == plain(file, texts, 2)
+
+
+@settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_pieces_give_the_ids_of_the_whole_text(texts):
     for file, keeps in ((BYTE, True), (WORD, False)):
