@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import chroma, maxent_lm, toxicity, vamana
 
-ODD = [(None, "no id here"), (2, None), (3, ""), (4, "Same text twice"), (4, "Same text twice"), (5, "x" * 40_000), (6, "long " * 20_000)]
+ODD = [(None, "no id here"), (2, None), (3, ""), (4, "Same text twice"), (4, "Same text twice"), (5, "x" * 40_000), (6, "long " * 20_000), (11, "a \0end b"), (12, "a b")]
 
 
 def test_language_model(spark, docs):
@@ -24,17 +24,39 @@ def test_language_model(spark, docs):
     want = sorted((str(d), held(d), len(tokens(t)), sum(w in counts for w in tokens(t)), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 4)) for d, t in rows)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     assert all(r.score < 0 for r in got) and maxent_lm.score(docs([])).count() == 0
+    mean = lambda column: sum(r[column] for r in got if r.held_out and r.doc_id >= 100)
+    assert mean("score") > mean("base_score")  # what follows what is learned
+    again = maxent_lm.score(docs(rows[::-1]).repartition(12)).collect()
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.base_score)
+    assert np.allclose([r.score for r in sorted(got, key=key)], [r.score for r in sorted(again, key=key)], atol=1e-3)
 
 
 def test_softmax_factors_are_distributions():
-    rng = np.random.default_rng(1)
-    weights = [rng.normal(size=(maxent_lm.ROWS, k)).astype(np.float32) for k in (maxent_lm.CLASSES, maxent_lm.MEMBERS)]
+    rng, bits = np.random.default_rng(1), 9
+    weights = [rng.normal(size=(5 << bits, k)).astype(np.float32) for k in (maxent_lm.CLASSES, maxent_lm.MEMBERS)]
     n = maxent_lm.CLASSES * maxent_lm.MEMBERS
     with np.errstate(over="ignore"):
-        total = sum(np.exp(maxent_lm.log_likelihood(weights, np.arange(5, dtype=np.uint64), np.array([0, 3]), np.full(5, leaf))) for leaf in range(n))
+        total = sum(np.exp(maxent_lm.log_likelihood(weights, np.arange(5, dtype=np.uint64), np.array([0, 3]), np.full(5, leaf), bits)) for leaf in range(n))
     assert np.allclose(total, 1, atol=1e-3)
 
 
+def test_gradient_equals_differences_of_the_likelihood():
+    rng, bits = np.random.default_rng(2), 8
+    weights = [rng.normal(size=(5 << bits, k)).astype(np.float32) for k in (maxent_lm.CLASSES, maxent_lm.MEMBERS)]
+    tokens, starts, leaf = rng.integers(0, 9, 40, np.uint64), np.array([0, 15]), rng.integers(0, 256, 40)
+    with np.errstate(over="ignore"):
+        gradient = [np.zeros(w.shape) for w in weights]
+        maxent_lm.add_gradient(gradient, weights, maxent_lm._features(tokens, starts, bits), leaf)
+        for i in (0, 1):
+            for at in np.argwhere(np.abs(gradient[i]) > 0.1)[::97]:
+                ends = []
+                for d in (0.01, -0.01):
+                    moved = [w.astype(np.float64) for w in weights]
+                    moved[i][tuple(at)] += d
+                    ends.append(-maxent_lm.log_likelihood(moved, tokens, starts, leaf, bits).sum())
+                assert abs((ends[0] - ends[1]) / 0.02 - gradient[i][tuple(at)]) < 1e-3
+
+
 def test_toxicity_on_held_out_rows(spark, docs):
     rng = random.Random(2)
     bad = ["scumbag", "moron", "lowlife", "idiotic", "worthless"]
@@ -78,27 +100,79 @@ def test_nearest_neighbours(spark):
     assert vamana.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
-def test_audio_alignment(spark):
-    rng = np.random.default_rng(4)
-    sound = lambda n: bytes((128 + 60 * np.sin(np.cumsum(rng.normal(0.3, 0.15, n)))).astype(np.uint8))
-    a, b = sound(20_000), sound(20_000)
-    part = a[chroma.HOP * 40 : chroma.HOP * 200]
-    rows = [(20, a), (21, a), (3, part), (5, b), (7, None), (8, b""), (None, b[:300])]
-    out, links = chroma.align(spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in rows], "doc_id long, audio binary").withColumn("v", F.lit("clash")))
-    got = {r.doc_id: r for r in out.collect()}
-    assert (got[3].best_id, got[3].best_offset, got[3].best_error) == (20, -40, 0.0) and got[20].class_id == got[21].class_id == 20
-    assert got[5].n_links == 0 and got[7].class_id == got[8].class_id and links.count() >= 1
-    p = chroma.fingerprint(np.frombuffer(a, np.uint8))
-    for i in range(0, len(p) - 30, 7):  # a shared run of a window's length shares a key
-        whole, own = chroma.runs(p), chroma.runs(p[i : i + 30])
-        assert set(whole[chroma.winnow(whole)].tolist()) & set(own[chroma.winnow(own)].tolist())
-
-
-def test_noisy_and_shifted_recordings_meet(spark):
+def tune(rng, seconds):
+    """Chords that change after a tenth to half a second."""
+    out = []
+    while sum(map(len, out)) < seconds * chroma.RATE:
+        t = np.arange(int(rng.integers(1000, 5000))) / chroma.RATE
+        out.append(sum(np.sin(2 * np.pi * f * t) for f in rng.choice(220 * 2 ** (np.arange(36) / 12), 2)) / 2)
+    return np.concatenate(out)[: int(seconds * chroma.RATE)]
+
+
+def pcm(x):
+    return np.clip(128 + 80 * x, 0, 255).astype(np.uint8)
+
+
+def noisy(rng, x, decibel):
+    return x + rng.normal(0, np.sqrt(np.mean(x**2) / 10 ** (decibel / 10)), len(x))
+
+
+def media(spark, rows):
+    return spark.createDataFrame([(i, None if x is None else bytearray(x.tobytes())) for i, x in rows], "doc_id long, audio binary").withColumn("v", F.lit("clash"))
+
+
+def best_of_all_offsets(a, b):
+    """Evidence of the best stretch over all offsets, by the definition."""
+    most = 0.0
+    for offset in range(-len(a) + 1, len(b)):
+        x, y = a[max(0, -offset) :], b[max(0, offset) :]
+        held = 0.0
+        for p, q in zip(x.tolist(), y.tolist(), strict=False):
+            held = max(0.0, held + 32 * chroma.MAX_ERROR - (p ^ q).bit_count())
+            most = max(most, held)
+    return most
+
+
+def test_recordings_meet_as_brute_force_over_all_pairs_and_offsets_says(spark):
     rng = np.random.default_rng(4)
-    a = (128 + 60 * np.sin(np.cumsum(rng.normal(0.3, 0.15, 20_000)))).astype(np.uint8)
-    noisy = lambda x, much: np.clip(x + rng.normal(0, much, len(x)), 0, 255).astype(np.uint8)
-    rows = [(20, a), (1, noisy(a, 6)), (2, a[32:]), (3, a[17:]), (4, noisy(a[40:], 10)), (5, noisy(a[64 * 50 + 21 : 64 * 250], 4))]
-    got = chroma.align(spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in rows], "doc_id long, audio binary"))[0].collect()
-    assert all(r.best_id == 20 and 0 < r.best_error < 0.2 for r in got if r.doc_id != 20)
-    assert abs({r.doc_id: r for r in got}[5].best_offset + 50) <= 1
+    tunes = [tune(rng, 4) for _ in range(24)]
+    rows = [(20 * i, pcm(x)) for i, x in enumerate(tunes)]
+    for i, x in enumerate(tunes):
+        cut = int(rng.integers(0, chroma.HOP))
+        rows += [(1000 + i, pcm(noisy(rng, x[cut:], 10))), (2001 + 20 * i, pcm(noisy(rng, x[chroma.HOP * 20 + cut :], 20)))]
+    rows.append((3001, pcm(np.concatenate([tune(rng, 3), tunes[0], tune(rng, 3)]))))  # shares a passage
+    classes = [(i, p) for (i, _), p in zip(rows, chroma.fingerprints([x for _, x in rows]), strict=True)]
+    least = 32 * chroma.MAX_ERROR * chroma.LEAST * (1 - 1e-9)
+    want = {(q, i) for q, a in classes if q % 20 == 0 for i, b in classes if i != q and best_of_all_offsets(a, b) >= least}
+    planted = {(20 * i, k) for i in range(24) for k in (1000 + i, 2001 + 20 * i)} | {(0, 3001)}
+    assert planted <= want
+    out, links = chroma.align(media(spark, rows).repartition(5))
+    got = {(r["query"], r["class"]) for r in links.collect()}
+    assert got <= want and len(got & want) >= 0.9 * len(want) and len(got & planted) >= 0.95 * len(planted)
+    row = {r.doc_id: r for r in out.collect()}
+    assert row[1003].best_id == 60 and row[1003].component_id <= 60 and row[3001].best_id == 0
+
+
+def test_audio_of_odd_kinds(spark):
+    rng = np.random.default_rng(5)
+    a, b = pcm(tune(rng, 6)), pcm(tune(rng, 6))
+    part = a[chroma.HOP * 40 : chroma.HOP * 110]
+    rows = [(20, a), (21, a), (3, part), (5, b), (7, None), (8, b[:0]), (None, b[:300]), (9, b[:300]), (40, np.tile(b, 40))]
+    out, links = chroma.align(media(spark, rows))
+    got = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
+    assert len(got) == 8 and (got[3].best_id, got[3].best_offset, got[3].best_error) == (20, -40, 0.0)
+    assert got[20].class_id == got[21].class_id == got[3].component_id == 20 and got[7].class_id == got[8].class_id == 7
+    assert got[5].best_id == 40 and got[9].n_links == 0 and got[9].class_id == 9 and got[40].n_prints > 6000 // 2
+    assert chroma.align(media(spark, rows).limit(0))[0].count() == 0
+
+
+def test_a_group_that_shares_its_keys_is_joined_by_representative(spark):
+    rng = np.random.default_rng(6)
+    base = pcm(tune(rng, 5))
+    rows = []
+    for i in range(90):
+        x = base.copy()
+        x[30_000:] = pcm(tune(rng, 5))[30_000:]  # the same beginning, ends of their own
+        rows.append((i, x))
+    out, links = chroma.align(media(spark, rows), limit=8)
+    assert {r.component_id for r in out.collect()} == {0} and links.count() < 5 * 90
