@@ -8,6 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -43,7 +44,34 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     path = fresh_path(spark, name)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    if _SCOPES:
+        _SCOPES[-1].append(table)
+    return table
+
+
+_SCOPES: list[list[DataFrame]] = []
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch():
+    """Tables that are written inside are removed at the end, but for those taken out of the list that it gives."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.pop()
+        discard(*made)
 
 
 def open_shared(uri: str, mode: str):
@@ -72,6 +100,16 @@ def replace_shared(source: str, target: str) -> None:
     store.move(path, fs.FileSystem.from_uri(target)[1])
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def cache_of(owner: str) -> dict:
+    """What a worker process remembers for one operator; what it remembered for others goes, so that stages don't add up."""
+    for other in [k for k in _CACHES if k != owner]:
+        del _CACHES[other]
+    return _CACHES.setdefault(owner, {})
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: one aggregate over one column."""
     return docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,6 +22,9 @@ def components(links: DataFrame) -> DataFrame:
         hooked = labels.join(near.withColumnRenamed("a", "v"), "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         own = labels.select(F.col("v").alias("label"), F.col("label").alias("jump"))
         step = written(hooked.join(own, "label", "left").select("v", F.least("label", F.coalesce("jump", "label")).alias("label"), "old"), "cc-labels")
+        discard(labels)
         labels = step.select("v", "label")
+        labels._written = step._written
         if step.filter("label <> old").limit(1).count() == 0:
+            discard(edges)
             return labels

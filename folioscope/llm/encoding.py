@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-from .common import spans
+from .common import cache_of, spans
 
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -24,15 +24,15 @@ CACHE_PIECES = 600_000
 #: Their characters; pieces longer than the second number are the first to go.
 CACHE_CHARS, LONG_PIECE = 24 << 20, 200
 _MARKS = ",.;:!?%&$#*)"
-_SHARED: dict[tuple, PieceEncoder] = {}
 
 
 def shared_encoder(file: str, end_id: int, keeps_space: bool) -> PieceEncoder:
     """One encoder for all tasks of a worker process."""
     key = (file, end_id, keeps_space)
-    if key not in _SHARED:
-        _SHARED[key] = PieceEncoder(*key)
-    return _SHARED[key]
+    held = cache_of("encoding")
+    if key not in held:
+        held[key] = PieceEncoder(*key)
+    return held[key]
 
 
 class _Numbers(dict):

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, text_bytes, written
+from .common import cache_of, discard, parts, text_bytes, written
 from .components import components
 from .encoding import batches
 
@@ -59,17 +59,15 @@ class _Hashes(dict):
         return h
 
 
-_WORDS = _Hashes()
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the shingles; ``bytes`` lower-cases A-Z alone and splits at the six ASCII spaces alone."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, _U)
-    if len(_WORDS) > CACHE_WORDS:
-        _WORDS.clear()
-    h = np.fromiter(map(_WORDS.__getitem__, words), _U, len(words))
+    known = cache_of("jaccard").setdefault("words", _Hashes())
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), _U, len(words))
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, _U(n))
     for i in range(n):
@@ -185,15 +183,41 @@ def digests(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rare:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, v long, bits array<long>, signatures array<long>")
 
 
+def _three(x: np.ndarray) -> bytes:
+    """The low three bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def _from_three(blob) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, 3)
+    out = np.zeros((len(raw), 4), np.uint8)
+    out[:, :3] = raw
+    return out.view("<u4").ravel()
+
+
+def _numbers(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes as the largest takes; the first byte says how many."""
+    width = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _from_numbers(blob) -> np.ndarray:
+    raw = bytes(blob)
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def rarest(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """v (class), n (set size), s: the rarest shingles of each set, but for those that occur once."""
+    """v (class), n (set size), s: the rarest shingles of each set, but for those that occur once.
+
+    A shingle's name is its bucket and 24 bits of its hash; buckets grow with the text, so few names stand for two shingles. Those
+    count as one shingle, which can only bring more sets together; every pair is compared exactly later.
+    """
     buckets = parts(text_bytes(docs), BUCKET_TEXT)
-    schema = "bucket int, batch long, sets binary, entries binary"
-    of_set, of_entry = np.dtype([("v", "<i8"), ("n", "<i8")]), np.dtype([("set", "<u2"), ("low", "<u4")])
-    of_common = np.dtype([("set", "<u2"), ("low", "<u4"), ("times", "<u4")])
+    schema = "bucket int, batch long, sets binary, counts binary, entries binary, times binary"
+    of_set = np.dtype([("v", "<i8"), ("n", "<i8")])
 
     def cut(stream):
-        """Per group of texts a row with its sets, and a row of shingles for each bucket."""
+        """Per group of texts a row with its sets, and for each bucket a row with how many names each set has there, and the names."""
         from pyspark import TaskContext
 
         batch_id = TaskContext.get().partitionId() << 32
@@ -201,60 +225,65 @@ def rarest(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for batch in stream:
                 for texts, _ in batches(batch, CUT_TEXT):
                     sets = list({fingerprint(x): x for t in texts if len(x := shingles(t, size))}.items())
-                    for first in range(0, len(sets), 1 << 16):
-                        some = sets[first : first + (1 << 16)]
-                        flat = np.concatenate([x for _, x in some])
-                        bucket = ((flat >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
-                        entries = np.empty(len(flat), of_entry)
-                        entries["set"], entries["low"] = np.repeat(np.arange(len(some)), [len(x) for _, x in some]), flat & _U(0xFFFFFFFF)
-                        entries = entries[np.argsort(bucket, kind="stable")]
-                        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-                        used = np.flatnonzero(np.diff(ends, prepend=0))
-                        blobs = [entries[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends])[used].tolist(), ends[used].tolist(), strict=True)]
-                        about = np.array([(v, len(x)) for v, x in some], of_set).tobytes()
-                        yield pa.record_batch({
-                            "bucket": pa.array([batch_id % buckets, *used.tolist()], pa.int32()), "batch": pa.array([batch_id] * (1 + len(used)), pa.int64()),
-                            "sets": pa.array([about, *[None] * len(used)], pa.binary()), "entries": pa.array([None, *blobs], pa.binary()),
-                        })
-                        batch_id += 1
+                    if not sets:
+                        continue
+                    flat = np.concatenate([x for _, x in sets])
+                    own = np.repeat(np.arange(len(sets)), [len(x) for _, x in sets])
+                    bucket = ((flat >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")  # within a bucket by set
+                    own, flat = own[order], flat[order]
+                    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+                    used = np.flatnonzero(np.diff(ends, prepend=0))
+                    spans_ = list(zip(np.concatenate([[0], ends])[used].tolist(), ends[used].tolist(), strict=True))
+                    about = np.array([(v, len(x)) for v, x in sets], of_set).tobytes()
+                    yield pa.record_batch({
+                        "bucket": pa.array([batch_id % buckets, *used.tolist()], pa.int32()), "batch": pa.array([batch_id] * (1 + len(used)), pa.int64()), "sets": pa.array([about, *[None] * len(used)], pa.binary()),
+                        "counts": pa.array([None, *[_numbers(np.bincount(own[a:b], minlength=len(sets))) for a, b in spans_]], pa.binary()),
+                        "entries": pa.array([None, *[_three(flat[a:b] & _U(0xFFFFFF)) for a, b in spans_]], pa.binary()), "times": pa.array([None] * (1 + len(used)), pa.binary()),
+                    })
+                    batch_id += 1
 
     def count(table):
-        """The shingles of a bucket that occur more than once, with how often they do."""
+        """The names of a bucket that occur more than once, with how often they do."""
         about = table.filter(table.column("entries").is_null())
         rest = table.filter(table.column("entries").is_valid())
-        parts_ = [np.frombuffer(x.as_buffer(), of_entry) for x in rest.column("entries")]
-        if not parts_:
+        if not rest.num_rows:
             return about
-        low = np.concatenate([x["low"] for x in parts_])
-        _, at, times = np.unique(low, return_inverse=True, return_counts=True)
-        times, out, start = times[at], [], 0
-        for x in parts_:
-            own = times[start : start + len(x)]
-            start += len(x)
-            some = own > 1
-            common = np.empty(int(some.sum()), of_common)
-            common["set"], common["low"], common["times"] = x["set"][some], x["low"][some], np.minimum(own[some], 0xFFFFFFFF)
-            out.append(common.tobytes())
-        return pa.concat_tables([about, rest.set_column(rest.schema.get_field_index("entries"), "entries", pa.array(out, pa.binary()))])
+        names = [_from_three(x.as_buffer()) for x in rest.column("entries")]
+        found = np.bincount(np.concatenate(names), minlength=1 << 24)
+        out = [[], [], []]
+        for own, counts in zip(names, rest.column("counts"), strict=True):
+            counts = _from_numbers(counts.as_buffer())
+            times = found[own]
+            some = times > 1
+            of = np.repeat(np.arange(len(counts)), counts)[some]
+            for column, blob in zip(out, (_numbers(np.bincount(of, minlength=len(counts))), _three(own[some]), _numbers(np.minimum(times[some], 0xFFFF))), strict=True):
+                column.append(blob)
+        for name, blobs in zip(("counts", "entries", "times"), out, strict=True):
+            rest = rest.set_column(rest.schema.get_field_index(name), name, pa.array(blobs, pa.binary()))
+        return pa.concat_tables([about, rest])
 
     def choose(table):
-        """The first shingles of each set of a group of texts."""
+        """The first names of each set of a group of texts."""
         about = np.frombuffer(next(x for x in table.column("sets") if x.is_valid).as_buffer(), of_set)
-        found = [(b, np.frombuffer(x.as_buffer(), of_common)) for b, x in zip(table.column("bucket").to_pylist(), table.column("entries"), strict=True) if x.is_valid]
-        entries = np.concatenate([np.zeros(0, of_common), *[x for _, x in found]])
-        name = np.repeat(np.array([b for b, _ in found], _U), [len(x) for _, x in found]) << _U(32) | entries["low"]
-        order = np.lexsort((name, entries["times"], entries["set"]))
-        own, name = entries["set"][order].astype(np.int64), name[order]
+        found = [(b, *(x.as_buffer() for x in row)) for b, *row in zip(table.column("bucket").to_pylist(), *(table.column(c) for c in ("counts", "entries", "times")), strict=True) if row[0].is_valid]
+        own, name, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (
+            [np.repeat(np.arange(len(about)), _from_numbers(c)) for _, c, _, _ in found],
+            [b << 24 | _from_three(e).astype(np.int64) for b, _, e, _ in found], [_from_numbers(t) for *_, t in found]))
+        order = np.lexsort((name, times, own))
+        own, name = own[order], name[order]
         common = np.bincount(own, minlength=len(about))
         rank = np.arange(len(own)) - (np.cumsum(common) - common)[own]
         n = about["n"]
         taken = rank < (n - -(-n * percent // 100) + 1 - (n - common))[own]
         own, name = own[taken], name[taken]
-        return pa.table({"v": about["v"][own], "n": n[own], "s": name.view(np.int64)})
+        return pa.table({"v": about["v"][own], "n": n[own], "s": name})
 
     cuts = docs.select("doc_id", "text").mapInArrow(cut, schema)
     common = written(cuts.groupBy("bucket").applyInArrow(count, schema), "jaccard-common")
-    return common.groupBy("batch").applyInArrow(choose, "v long, n long, s long").distinct()
+    out = written(common.groupBy("batch").applyInArrow(choose, "v long, n long, s long").distinct(), "jaccard-rarest")
+    discard(common)
+    return out
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -284,7 +313,9 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int =
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    out = written(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "jaccard-links")
+    discard(ids, sets)
+    return out
 
 
 def similar_lengths(p, q, percent: int = PERCENT):
@@ -297,31 +328,39 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rare: boo
     rows = written(digests(docs, size, percent, rare), "jaccard-digests")
     classes = written(rows.filter("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
     if rare:
-        once = written(rarest(docs, size, percent), "jaccard-rarest")
+        least_ = rarest(docs, size, percent)
+        once = least_
     else:
         once = rows.filter(F.size("signatures") > 0).dropDuplicates(["v"]).select("v", "n", F.explode("signatures").alias("s"))
     once = once.repartition("s")  # one exchange for the smallest class and for its partners
     least = once.groupBy("s").agg(F.min(F.struct("v", "n")).alias("c"), F.max("v").alias("most")).filter("c.v <> most")
     shared = written(once.join(least, "s").select("s", "v", "n", F.col("c.v").alias("center"), F.col("c.n").alias("center_n")).distinct(), "jaccard-shared")
+    if rare:
+        discard(least_)
     stars = written(shared.filter("v <> center").filter(similar_lengths(F.col("n"), F.col("center_n"), percent)).select(F.col("center").alias("a"), F.col("v").alias("b")).distinct(), "jaccard-stars")
-    found = written(verified(docs, stars, classes, size, percent), "jaccard-links")
+    found = verified(docs, stars, classes, size, percent)
     labels = components(found)
     named = shared.select("s", "v", "n").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     named = written(named.select("s", "v", "n", "label"), "jaccard-named")
+    discard(shared)
     mixed = named.groupBy("s").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("v").alias("center"), F.count(F.lit(1)).alias("k")).filter("l <> m and k > 2").select("s", "center")
     opened = named.join(mixed, "s").filter("v <> center")  # pairs with the smallest class are known
     opened = written(opened.join(rows.select("v", "bits").dropDuplicates(["v"]), "v"), "jaccard-open")
+    discard(named)
     left, right = (opened.select(*[F.col(c).alias(c + k) for c in ("s", "v", "n", "label", "bits")]) for k in "12")
     near = (F.col("s1") == F.col("s2")) & (F.col("v1") < F.col("v2")) & (F.col("label1") != F.col("label2")) & similar_lengths(F.col("n1"), F.col("n2"), percent)
     rest = left.join(right, near & may_be_similar(*map(F.col, ("n1", "n2", "bits1", "bits2")), percent)).select(F.col("v1").alias("a"), F.col("v2").alias("b")).distinct()
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "jaccard-rest")
+    discard(opened, stars)
     if rest.limit(1).count():
-        more = written(verified(docs, rest, classes, size, percent), "jaccard-links")
+        more = verified(docs, rest, classes, size, percent)
         if more.limit(1).count():
             found = found.union(more)
+            discard(labels)
             labels = components(found)
     members = labels.join(classes, "v").groupBy("label").agg(F.min("rep").alias("component"))
     grouped = written(labels.join(members, "label").select("v", "component", "label"), "jaccard-components")
+    discard(rest, labels)
     out = rows.select("doc_id", "n", "v").join(classes.select("v", "rep"), "v", "left").join(grouped, "v", "left")
     empty = F.col("n") == 0
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"), F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"), F.col("v").alias("set"), F.when(~empty, F.coalesce("label", "v")).alias("label"))

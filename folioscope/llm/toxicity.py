@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import cache_of, crc_bucket
 from .encoding import batches
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
@@ -153,9 +153,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
     return fit_sample([(r.text, int(r.toxic)) for r in rows], counts.get(1, 0) / total if total else 0.0)
 
 
-_WORKER: dict = {}
-
-
 def score(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
     """The ``keep`` columns, then score and predicted, a row per document; ``keep`` may hold ``text``."""
     names = [f"c{i}" for i in range(len(keep))]
@@ -164,10 +161,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
     key = hash((tuple(model.toxic), tuple(model.ordinary), tuple(model.curve or ())))
 
     def run(stream):
-        if _WORKER.get("key") != key:
-            _WORKER.clear()
-            _WORKER.update(key=key, compressors=Compressors(model.toxic, model.ordinary), odds={})
-        find, odds = _WORKER["compressors"].cell, _WORKER["odds"]
+        held = cache_of("toxicity")
+        if held.get("key") != key:
+            held.clear()
+            held.update(key=key, compressors=Compressors(model.toxic, model.ordinary), odds={})
+        find, odds = held["compressors"].cell, held["odds"]
         worst = math.log(0.3) - math.log(0.9)  # a cell that no sampled document had
         for batch in stream:
             for texts, rest in batches(batch):
