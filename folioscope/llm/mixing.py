@@ -2,7 +2,8 @@
 
 Words of all documents are shared among the sources by weight, no source above ``max_repeat`` times its own size. The
 targets become blocks of equal length, allocated to the sources by highest quotients; a source's blocks are allocated to
-its shards in the same way, and each shard takes its quota from its documents in a seeded order.
+its shards in the same way, and each shard takes its quota from its documents in a seeded order. A block is an eighth of the
+smallest positive target, of ``BLOCK_WORDS`` words at most and one at least, so that small sources come near their targets too.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; null ids keep their row; rows
 are never merged, so repeated rows each have their share; documents of size 0 take 0; an empty table gives an empty one;
@@ -71,47 +72,76 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -
     return s.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("_final") * F.col("weight"), F.col("cap").cast("double")))).drop("_ratio", "_level", "_final", "cap")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, shard_base: int = SHARD_BASE, seed: str = SEED, carry: bool = False) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken; with ``carry`` the whole input row as struct ``_row``."""
-    row = [F.struct(*docs.columns).alias("_row")] if carry else []
-    keep = ["_row"] if carry else []
-    sized = docs.select("doc_id", *row, F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), word_count(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed).alias("_key"))
-    sized = written(sized, "mix-sizes")
-    key = ["no_source", "src"]
-    sources = targets(sized.groupBy(*key).agg(F.sum("size").alias("source_size")), weights, max_repeat)
-    sources = sources.withColumn("_seats", F.ceil(F.col("_total") / F.lit(float(block_words))).cast("long"))
+def quotas(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT, shard_base: int = SHARD_BASE, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and keys (doc_id, size, source_size, target, no_source, src, shard, _key); per shard shard_size and quota."""
+    sized = written(docs.select("doc_id", *_source(), word_count(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed).alias("_key")), "mix-sizes")
+    sources = targets(sized.groupBy(*KEY).agg(F.sum("size").alias("source_size")), weights, max_repeat)
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy(F.lit(0)))
+    sources = sources.withColumn("block", F.coalesce(F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(least / 8))), F.lit(block_words)).cast("long"))
+    sources = sources.withColumn("_seats", F.ceil(F.col("_total") / F.col("block").cast("double")).cast("long"))
     sources = sainte_lague(sources, [], "target", "_seats", ["ord"]).withColumnRenamed("won", "blocks")
     # about the square root of the words: neither a shard nor a source's list of shards becomes a long group
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("source_size") / F.lit(float(shard_base))))).cast("long"))
-    sources = written(sources.select(*key, "source_size", "target", "blocks", "shards"), "mix-sources")
-    placed = sized.join(sources, key).withColumn("shard", F.pmod("_key", "shards"))
-    shards = placed.groupBy(*key, "shard", "blocks").agg(F.sum("size").alias("shard_size"))
-    quotas = sainte_lague(shards, key, "shard_size", "blocks", ["shard"])
-    quotas = quotas.select(*key, "shard", "shard_size", F.least(F.col("won") * block_words, F.col("shard_size") * max_repeat).alias("quota"))
-    own = Window.partitionBy(*key, "shard").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(written(quotas, "mix-quotas"), [*key, "shard"])
-    out = out.withColumn("_from", F.sum("size").over(own) - F.col("size"))
-    passes = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0)
-    rest = F.col("quota") - passes * F.col("shard_size")
-    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_from")))
-    return out.select("doc_id", *keep, "size", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def materialised(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each document as often as it is taken whole, then once cut after the words that remain."""
-    mixed = mix(docs, carry=True, **options)
+    sources = written(sources.select(*KEY, "source_size", "target", "block", "blocks", "shards"), "mix-sources")
+    placed = sized.join(sources, KEY).withColumn("shard", F.pmod("_key", "shards"))
+    shards = placed.groupBy(*KEY, "shard", "shards", "block", "blocks").agg(F.sum("size").alias("shard_size"))
+    won = sainte_lague(shards, KEY, "shard_size", "blocks", ["shard"])
+    quota = F.least(F.col("won") * F.col("block"), F.col("shard_size") * max_repeat)
+    passes = F.when(F.col("shard_size") > 0, F.floor(quota / F.col("shard_size"))).otherwise(0).cast("long")
+    won = won.select(*KEY, "shard", "shards", passes.alias("passes"), (quota - passes * F.col("shard_size")).alias("rest"))
+    return placed, written(won, "mix-quotas")
+
+
+KEY = ["no_source", "src"]
+
+
+def _source() -> list[Column]:
+    return [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src")]
+
+
+def _lined(placed: DataFrame, shards: DataFrame) -> DataFrame:
+    """With the words that stand before each document in its shard's order."""
+    own = Window.partitionBy(*KEY, "shard").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.drop("shards").join(shards, [*KEY, "shard"]).withColumn("_from", F.sum("size").over(own) - F.col("size"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken."""
+    taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("_from")))
+    return _lined(*quotas(docs, **options)).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def materialised(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document as often as it is taken whole, then once cut after the words that remain.
+
+    Texts are not shuffled: a row of a shard's table says up to which place in the seeded order documents are taken. Rows that are
+    alike at that place (same id and size) share what is left of the quota evenly.
+    """
+    placed, shards = quotas(docs, seed=seed, **options)
+    place = F.struct("_key", F.col("doc_id").isNotNull().alias("some"), F.coalesce("doc_id", F.lit(0)).alias("id"), "size")
+    lined = _lined(placed, shards).withColumn("_at", place)
+    alike = lined.filter("size > 0").groupBy(*KEY, "shard", "_at", "rest").agg(F.min("_from").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    first = alike.filter(F.col("_from") + F.col("_n") * F.col("_at.size") > F.col("rest")).groupBy(*KEY, "shard").agg(F.min(F.struct("_at", "_from", "_n")).alias("_cut"))
+    cuts = shards.join(first, [*KEY, "shard"], "left").select(*KEY, "shard", "shards", "passes", F.col("_cut._at").alias("_last"), F.floor((F.col("rest") - F.col("_cut._from")) / F.col("_cut._n")).cast("long").alias("_share"))
+    cuts = written(cuts, "mix-cuts")
+    sizes = cuts.groupBy(*KEY).agg(F.first("shards").alias("shards"))  # a row for each source
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], "doc_id", *_source(), word_count(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), seed).alias("_key"))
+    rows = rows.join(sizes, KEY).withColumn("shard", F.pmod("_key", "shards")).drop("shards").join(cuts.drop("shards"), [*KEY, "shard"]).withColumn("_at", place)
+    once = F.when(F.col("_last").isNull() | (F.col("_at") < F.col("_last")), F.col("size")).when(F.col("_at") == F.col("_last"), F.col("_share")).otherwise(0)
+    rows = rows.withColumn("taken", F.col("passes") * F.col("size") + once)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    text = F.col("_row.text")
+    text = F.col(names[docs.columns.index("text")])
     # pieces of white space and one word; white space at the end belongs to no word
     pieces = F.filter(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), lambda w: w.rlike(r"[^\x20\x09-\x0D]"))
     cut = F.when(rest > 0, F.array(F.struct(F.array_join(F.slice(pieces, F.lit(1), rest), "").alias("t"), F.lit(True).alias("cut"))))
     copies = F.concat(F.array_repeat(F.struct(text.alias("t"), F.lit(False).alias("cut")), whole), F.coalesce(cut, F.array().cast("array<struct<t:string,cut:boolean>>")))
-    rows = mixed.withColumn("_copy", F.explode(copies))
+    rows = rows.withColumn("_copy", F.explode(copies))
     new = {"text": F.col("_copy.t")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_copy.cut"), F.length("_copy.t")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("_copy.cut"), F.length("_copy.t")).otherwise(F.col(names[docs.columns.index("n_chars")])).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -143,13 +173,15 @@ src_3 as (select *, cap::double / weight as ratio from src_2),
 src_4 as (select *, (total_ - coalesce(sum(cap) over (order by ratio, ord rows between unbounded preceding and 1 preceding), 0))::double
   / sum(weight) over (order by ratio, ord rows between current row and unbounded following) as level_ from src_3),
 src_5 as (select *, (select level_ from src_4 where ratio > level_ order by ratio, ord limit 1) as final_ from src_4),
-src_6 as (select no_source, src, ord, source_size, least(cap::double, coalesce(final_ * weight, cap::double)) as target, ceil(total_ / {float(BLOCK_WORDS)}::double)::bigint as seats_ from src_5),
-{_seats_sql("won_s", "src_6", "", "target", "seats_", "ord", "no_source, src, ord, source_size, target")},
-placed as (select sized.*, source_size, target, won as blocks, (key_ % greatest(1, ceil(sqrt(source_size / {float(SHARD_BASE)}::double)))::bigint) as shard
+src_6 as (select *, least(cap::double, coalesce(final_ * weight, cap::double)) as target from src_5),
+src_7 as (select *, coalesce(greatest(1, least({BLOCK_WORDS}, floor(min(target) filter (where target > 0) over () / 8))), {BLOCK_WORDS})::bigint as block from src_6),
+src_8 as (select no_source, src, ord, source_size, target, block, ceil(total_ / block::double)::bigint as seats_ from src_7),
+{_seats_sql("won_s", "src_8", "", "target", "seats_", "ord", "no_source, src, ord, source_size, target, block")},
+placed as (select sized.*, source_size, target, block, won as blocks, (key_ % greatest(1, ceil(sqrt(source_size / {float(SHARD_BASE)}::double)))::bigint) as shard
   from sized join won_s using (no_source, src)),
-sh_0 as (select no_source, src, shard, blocks, sum(size)::bigint as shard_size from placed group by 1, 2, 3, 4),
-{_seats_sql("won_h", "sh_0", "no_source, src", "shard_size", "blocks", "shard", "no_source, src, shard, shard_size")},
-quotas as (select *, least(won * {BLOCK_WORDS}, shard_size * {MAX_REPEAT}) as quota from won_h),
+sh_0 as (select no_source, src, shard, block, blocks, sum(size)::bigint as shard_size from placed group by 1, 2, 3, 4, 5),
+{_seats_sql("won_h", "sh_0", "no_source, src", "shard_size", "blocks", "shard", "no_source, src, shard, shard_size, block")},
+quotas as (select *, least(won * block, shard_size * {MAX_REPEAT}) as quota from won_h),
 lined as (select placed.*, shard_size, quota, sum(size) over (partition by no_source, src, shard order by key_, doc_id nulls first, size rows unbounded preceding) - size as from_
   from placed join quotas using (no_source, src, shard))
 select doc_id, size, source_size, target,

@@ -46,6 +46,39 @@ def test_licenses_mix_and_components(spark, docs, rows):
     assert mixed.selectExpr("sum(coalesce(regexp_count(text, '[^ ]+'), 0))").first()[0] >= sum(r.taken for r in taken) * 0.9
 
 
+def seats(values, n):
+    """One seat after another to the highest quotient, the first of equals."""
+    won = [0] * len(values)
+    for _ in range(n if sum(values) else 0):
+        best = max(range(len(values)), key=lambda i: (values[i] / (2 * won[i] + 1), -i))
+        won[best] += 1
+    return won
+
+
+@pytest.mark.parametrize("sizes", [{"a": [4000] * 20, "b": [9], "c": [9]}, {"a": [50, 60, 70], "b": [400] * 5, None: [3, 1]}, {"a": [700] * 9, "b": [700] * 9, "c": [700] * 9, "d": [5]}])
+def test_seats_one_by_one_and_small_sources(docs, sizes):
+    rows = [(i, " ".join(["w"] * n), source) for i, (source, n) in enumerate((k, n) for k, v in sizes.items() for n in v)]
+    got = mixing.mix(docs(rows)).collect()
+    names = sorted((k for k in sizes), key=lambda k: (k is None, k or ""))
+    total, caps, weight = sum(map(sum, sizes.values())), {k: 3 * sum(sizes[k]) for k in names}, {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}
+    target, open_ = {}, set(names)
+    while open_:  # share, cap what is above, share the rest again
+        level = (total - sum(target.values())) / sum(weight[k] for k in open_)
+        above = {k for k in open_ if level * weight[k] > caps[k]}
+        target |= {k: caps[k] for k in above} if above else {k: level * weight[k] for k in open_}
+        open_ = open_ - above if above else set()
+    block = max(1, min(mixing.BLOCK_WORDS, int(min(target.values()) / 8)))
+    won = dict(zip(names, seats([target[k] for k in names], -(-total // block)), strict=True))
+    by_id = {i: source for i, _, source in rows}
+    for k in names:
+        own = [r for r in got if by_id[r.doc_id] == k]
+        assert all(abs(r.target - target[k]) < 1e-6 and r.taken <= 3 * r.size for r in own)
+        taken = sum(r.taken for r in own)
+        assert taken == min(won[k] * block, caps[k]) and abs(taken - target[k]) <= block
+    mixed = mixing.materialised(docs(rows)).selectExpr("doc_id", "regexp_count(text, '[^ ]+') as n").groupBy("doc_id").sum("n").collect()
+    assert {r[0]: r[1] for r in mixed} == {r.doc_id: r.taken for r in got if r.taken}
+
+
 def test_urls(spark):
     rows = [(i, f"https://{h}.example.{t}/{p}/{i}") for i, (h, t, p) in enumerate((h, t, p) for h in ("a", "WWW.b", "pills") for t in ("com", "net", "org") for p in ("en", "de", "fr"))]
     rows += [(90, None), (91, ""), (92, "no scheme"), (93, "http://net"), (94, "http://net/"), (95, "ftp://X.NET?q#f"), (None, "http://example.net/en/x"), (96, "é://ü.org/fr/" + "x" * 50_000), (96, "http://u.org")]
