@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Entities that are decoded by name.
-ENTITIES = "amp lt gt quot apos nbsp eacute egrave ecirc agrave acirc ccedil ocirc icirc ucirc ugrave laquo raquo rsquo lsquo ldquo rdquo hellip ndash mdash".split()
+ENTITIES = "amp lt gt quot apos nbsp laquo raquo eacute egrave agrave ccedil ecirc ocirc ugrave icirc rsquo lsquo ldquo rdquo hellip mdash ndash oelig".split()
 _ENTITY = re.compile(r"&(?:#[xX]([0-9a-fA-F]+)|#([0-9]+)|(" + "|".join(ENTITIES) + "));")
 
 

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import LEADING_NUMBER, TRUTH_NUMBER
+
 #: White space as the text sources use it: Unicode's, the no-break space and the byte-order mark among it.
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -61,12 +63,6 @@ def running_key(text: Column) -> Column:
     return _without_folios(norm_key(text))
 
 
-LEADING_NUMBER = (
-    r"(?i)^\s*(?:(?:chapitre|chapter|partie|part|section|annexe|appendix)\s+)?"
-    r"(?:[0-9]+(?:[.\-][0-9]+)*\s*[.)\-\x{2013}\x{2014}:]*|(?:[ivxlcdm]{1,7}|[a-z])\s*[.)\-\x{2013}\x{2014}:]+)\s+"
-)
-
-
 def plain(text: Column) -> Column:
     """Lower-case ASCII letters, digits and apostrophes, single blanks."""
     text = F.translate(strip_accents(F.lower(text)), "’‘", "''")
@@ -105,8 +101,7 @@ def style_key(font: Column, size: Column) -> Column:
 
 def truth_key(title: Column) -> Column:
     """Key of a title when an outline is compared with a true one."""
-    start = r"(?i)^\s*(?:(?:chapitre|chapter|partie|part)\s+)?(?:[0-9]+(?:[.\-][0-9]+)*|[IVXLCDM]{1,7}|[A-Z])[.)]?\s*[:.\-\x{2013}\x{2014}]?\s+"
-    text = F.lower(strip_accents(F.regexp_replace(title, start, "")))
+    text = F.lower(strip_accents(F.regexp_replace(title, TRUTH_NUMBER, "")))
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import LEADING_NUMBER, letter_count, roman_to_int, word_count
+from ..functions.patterns import BARE, LEADING_NUMBER, PRINTED_FILL, PRINTED_ROW, STRONG_GAP, SUPPLIED_FILL, SUPPLIED_ROW
+from ..functions.text import letter_count, roman_to_int, word_count
 
 # ---- fixed values: patterns in the two languages of the lexicon
 _END = r"(?:[^A-Za-z0-9_]|$)"
@@ -14,7 +15,7 @@ KEYWORDS = (
     r"|introduction|conclusion|conclusions|discussion|discussions"
     r"|r[éÉe]sum[éÉe]|abstract|sommaire|table des mati[èÈe]res|contents"
     r"|bibliographie|r[éÉe]f[éÉe]rences|references|works cited"
-    r"|remerciements|acknowledgments|acknowledgements|avant.propos|pr[éÉe]face|preface|foreword"
+    r"|remerciements|acknowledg(?:e)?ments|avant.propos|pr[éÉe]face|preface|foreword"
     r"|m[éÉe]thodes?|methods?|methodology|m[éÉe]thodologie"
     r"|r[éÉe]sultats?|results?|mat[éÉe]riel|materials and methods"
     r"|glossaire|glossary|index|notes?|epilogue|[éÉe]pilogue|prologue"
@@ -39,7 +40,6 @@ LIST_TITLE = (
 )
 FIGURE_ENTRY = r"(?i)^(?:fig(?:ure)?|tab(?:le|leau)|graphique|encadr[éÉe]|illustration|planche|photo|sch[éÉe]ma|exhibit|box)\.?\s*[0-9IVX]"
 BARE_WORD = r"(?i)^(?:chapitre|chapter|partie|part|section|livre|book|tome|annexe|appendix)\s*[0-9IVX]*\.?$"
-BARE = r"(?i)^(?:chapitre|chapter|partie|part|livre|book|tome|volume|section|annexe|appendix|le[cçÇ]on|lecture|module|unit[éÉe]?|s[éÉe]ance|session)$"
 PART_WORD = r"(?i)^(?:partie|part|livre|book|tome|volume)(?:[^A-Za-z0-9_]|$)"
 HEADER_LINE = r"(?i)^(?:table\s+des\s+mati[eèÈ]res|sommaire|contents|table\s+of\s+contents|index)\s*$"
 LONE_FOLIO = r"(?i)^[ivxlcdm0-9]{1,6}$"
@@ -86,10 +86,9 @@ def _split_result(title: Column, printed: Column, roman: Column) -> Column:
 
 def split_page(text: Column) -> Column:
     """Title and page of a printed contents row: struct of title, printed and roman; null where there is no reference."""
-    pattern = r"(?i)^(.*?\S)[\s.·…_]*\s([0-9]{1,4}|[ivxlcdm]{1,7})$"
     trimmed = F.trim(text)
-    number = F.regexp_extract(trimmed, pattern, 2)
-    title = F.trim(F.regexp_replace(F.regexp_extract(trimmed, pattern, 1), r"[\s.·…_/|:\x{2013}\x{2014}-]+$", ""))
+    number = F.regexp_extract(trimmed, PRINTED_ROW, 2)
+    title = F.trim(F.regexp_replace(F.regexp_extract(trimmed, PRINTED_ROW, 1), PRINTED_FILL, ""))
     arabic = number.rlike("^[0-9]+$")
     value = F.when(arabic, number.cast("int")).otherwise(roman_to_int(number))
     year = arabic & (F.length(number) == 4) & (value > 1400) & (value < 2200) & ~text.rlike(r"\.{3,}")
@@ -98,10 +97,9 @@ def split_page(text: Column) -> Column:
 
 def split_trailing(text: Column) -> Column:
     """Title and page of a supplied contents row; a plain blank before the page is accepted with more care."""
-    pattern = r"(?i)^(.*?\S)(\s*(?:\.{2,}|…+|[·_]{2,}|\t+|\s{2,}|\s*[/|]\s*)\s*|\s+)([0-9]{1,4}|[ivxlcdm]{1,7})\s*$"
-    number, between = F.regexp_extract(text, pattern, 3), F.regexp_extract(text, pattern, 2)
-    title = F.trim(F.regexp_replace(F.regexp_extract(text, pattern, 1), r"[\s.·…_/|:,;\x{2013}\x{2014}-]+$", ""))
-    strong = between.rlike(r"\.{2,}|…|[·_]{2,}|\t|\s{2,}|[/|]")
+    number, between = F.regexp_extract(text, SUPPLIED_ROW, 3), F.regexp_extract(text, SUPPLIED_ROW, 2)
+    title = F.trim(F.regexp_replace(F.regexp_extract(text, SUPPLIED_ROW, 1), SUPPLIED_FILL, ""))
+    strong = between.rlike(STRONG_GAP)
     arabic = number.rlike("^[0-9]+$")
     value = F.when(arabic, number.cast("int")).otherwise(roman_to_int(number))
     doubtful = ~strong & F.when(arabic, (F.length(number) == 4) & (value > 1400) & (value < 2200)).otherwise((number != F.lower(number)) | (F.length(number) > 4))
