@@ -5,20 +5,28 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder of ``spark.checkpoint.dir``; where that is unset, in local mode alone, in a temporary one."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, in local mode alone, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="folioscope-"))
-        atexit.register(shutil.rmtree, _LOCAL[-1], True)
-        context.setCheckpointDir(_LOCAL[-1])
-    return df.checkpoint()
+        atexit.register(shutil.rmtree, _LOCAL[0], True)
+    return f"file://{_LOCAL[0]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: branches read the columns that they need, and lost executors cost no more than a task."""
+    path = f"{folder(df.sparkSession)}/folioscope/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

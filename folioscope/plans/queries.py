@@ -40,8 +40,8 @@ def book_lines(spark, sf_dir: str) -> DataFrame:
 
 # ---- the line table in SQL
 LINES = """
-pg_ as (select coalesce(try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') as bigint), 0) as doc_id, (row_number() over (partition by source order by doc_id) - 1)::int as page_index, doc_id as n, string_split(text, chr(10)) as ls
-  from documents where text is not null and source is not null),
+pg_ as (select case when source is null then -1 else ('0x' || substr(md5(source), 1, 15))::bigint end as doc_id, (dense_rank() over (partition by source order by doc_id) - 1)::int as page_index, coalesce(doc_id, 0) as n, string_split(text, chr(10)) as ls
+  from documents where text is not null),
 ln_ as (select doc_id, page_index, n, unnest(ls) as text, (generate_subscripts(ls, 1) - 1)::int as line_idx from pg_),
 lines as (select *, (780 - 7 * line_idx)::double as y, case (n * 7 + line_idx * 13) % 11 when 0 then 18.0::double when 1 then 14.0::double when 2 then 12.0::double else 10.0::double end as size,
   case when (n * 7 + line_idx * 13) % 11 <= 1 then 'bold' else 'body' end as font from ln_)"""
@@ -78,6 +78,30 @@ def matches(t: str, pattern: str) -> str:
 KEY = T.LEADING_NUMBER.replace("'", "''")
 
 
+# ---- a small printed book, beside those of the tables
+BOOK = -7
+TITLES = ["Origins of rivers", "Mountain weather", "Coastal erosion", "Desert winds", "Final remarks on land"]
+PRINTED_BOOK = [(0, 0, "Contents", 10.0, "body"), *[(0, 1 + i, f"{t} ..... {3 + 2 * i}", 10.0, "body") for i, t in enumerate(TITLES)], (0, 6, "padding line without any page", 10.0, "body")]
+PRINTED_BOOK += [(3 + 2 * i, 0, t, 16.0, "bold") for i, t in enumerate(TITLES)]
+PRINTED_BOOK += [(p, 1 + k, f"body text on page {p} line {k} which is a rather long line, like those in a book are.", 10.0, "body") for p in range(1, 14) for k in range(5)]
+PRINTED_BOOK += [(14, k, t, 10.0, "body") for k, t in enumerate(["Index", "delta, 12, 14", "erosion, 5-9", "winds, see weather", "weather, 7", "a plain row of the index"])]
+PRINTED_SQL = "select " + str(BOOK) + "::bigint as doc_id, p::int as page_index, 0::bigint as n, t as text, i::int as line_idx, (780 - 7 * i)::double as y, s::double as size, f as font from (values " + ", ".join(f"({p}, {i}, '{t}', {s}, '{f}')" for p, i, t, s, f in PRINTED_BOOK) + ") v(p, i, t, s, f)"
+#: The line table with that book.
+MORE_LINES = LINES.replace("lines as (", "tables_ as (") + f", lines as (select * from tables_ union all {PRINTED_SQL})"
+
+
+def printed_book(spark) -> DataFrame:
+    rows = spark.createDataFrame([(BOOK, *r) for r in PRINTED_BOOK], "doc_id long, page_index int, line_idx int, text string, size double, font string")
+    return rows.select(
+        "doc_id", "page_index", "line_idx", "text", F.lit(72.0).alias("x"), (F.lit(72.0) + F.length("text") * 5).alias("x_end"), (780 - 7 * F.col("line_idx")).cast("double").alias("y"), F.lit(0).alias("col"),
+        "size", F.col("size").alias("max_size"), "font", F.lit(1).alias("n_frags"), F.lit(792.0).alias("height"),
+    )
+
+
+def more_lines(spark, sf_dir: str) -> DataFrame:
+    return book_lines(spark, sf_dir).unionByName(printed_book(spark))
+
+
 # ---- recurrence and styles
 @query(f"with {LINES}, k as (select distinct doc_id, page_index, {sql_norm('text')} as key from lines) select doc_id, key, count(*) as pages from k where length(key) >= 4 group by 1, 2 having count(*) >= 3")
 def repeated_lines(spark, sf_dir):
@@ -104,18 +128,18 @@ def style_census(spark, sf_dir):
     return census.style_census(book_lines(spark, sf_dir)).withColumn("heading_fonts", F.array_join("heading_fonts", ","))
 
 
-@query(f"""with {LINES}, c as (select doc_id, page_index, count(*) filter (where length(text) > 4) as n, count(*) filter (where length(text) > 4 and {matches('text', P.TOC_LINE)}) as refs, max({matches('trim(text)', P.TOC_TITLE)}) as titled from lines group by 1, 2)
+@query(f"""with {MORE_LINES}, c as (select doc_id, page_index, count(*) filter (where length(text) > 4) as n, count(*) filter (where length(text) > 4 and {matches('text', P.TOC_LINE)}) as refs, max({matches('trim(text)', P.TOC_TITLE)}) as titled from lines group by 1, 2)
 select doc_id, page_index from c where titled or (n >= 4 and refs >= greatest(3, n * 0.3))""")
 def toc_pages(spark, sf_dir):
-    return census.toc_pages(book_lines(spark, sf_dir))
+    return census.toc_pages(more_lines(spark, sf_dir))
 
 
 INDEX = " or ".join([r"regexp_matches(text, '[0-9]+\s*[,;]\s*[0-9]+')", r"regexp_matches(text, '[0-9]+\s*[\x{2013}\x{2014}-]\s*[0-9]+\s*(?:[,;]|$)')", r"regexp_matches(text, '(?i),\s*(?:[0-9]+|[ivxlcdm]+)\s*$')", r"regexp_matches(text, '(?i)^\s*(?:see|voir)\b')"])
 
 
-@query(f"with {LINES}, c as (select doc_id, page_index, count(*) filter (where {INDEX}) as signs, count(*) as n from lines where length(text) > 3 group by 1, 2) select doc_id, page_index, signs, n from c where signs >= 1")
+@query(f"with {MORE_LINES}, c as (select doc_id, page_index, count(*) filter (where {INDEX}) as signs, count(*) as n from lines where length(text) > 3 group by 1, 2) select doc_id, page_index, signs, n from c where signs >= 1")
 def index_signs(spark, sf_dir):
-    rows = book_lines(spark, sf_dir).filter(F.length("text") > 3)
+    rows = more_lines(spark, sf_dir).filter(F.length("text") > 3)
     return rows.groupBy("doc_id", "page_index").agg(F.count_if(P.is_index_sign(F.col("text"))).alias("signs"), F.count(F.lit(1)).alias("n")).filter("signs >= 1")
 
 
@@ -304,25 +328,32 @@ def html_toc_count(spark, sf_dir):
 
 # ---- locating titles
 def benchmark_entries(spark, sf_dir) -> DataFrame:
-    """In every book, the first words of every benchmark text as a title, with a page that is its number."""
-    rows = table(spark, sf_dir, "benchmark").withColumn("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
-    title = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    return rows.select("doc_id", F.col("item_id").cast("int").alias("entry_idx"), title.alias("title"), F.lit(1).alias("level"), (F.col("item_id") % 40 + 1).cast("int").alias("printed"), F.lit(False).alias("roman"))
+    """In every book, every benchmark text as a title, with a page that is its number; and the titles of the small book."""
+    books = [r[0] for r in table(spark, sf_dir, "documents").select(L.book_number(F.col("source"))).distinct().collect()]  # a number for each source
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.array(*map(F.lit, books)) if books else F.array().cast("array<bigint>")).alias("doc_id"))
+    entry = lambda i, title, printed: [i.cast("int").alias("entry_idx"), title.alias("title"), F.lit(1).alias("level"), printed.cast("int").alias("printed"), F.lit(False).alias("roman")]
+    own = spark.createDataFrame([(BOOK, i, t, 3 + 2 * i) for i, t in enumerate(TITLES)], "doc_id long, i int, t string, p int")
+    return rows.select("doc_id", *entry(F.col("item_id"), F.col("text"), F.col("item_id") % 40 + 1)).unionByName(own.select("doc_id", *entry(F.col("i"), F.col("t"), F.col("p"))))
 
 
 def title_pairs(spark, sf_dir) -> DataFrame:
-    rows = book_lines(spark, sf_dir)
-    heads = census.running_heads(rows).limit(0)
-    return locate.similar_pairs(benchmark_entries(spark, sf_dir), locate.line_index(rows, heads))
+    rows = more_lines(spark, sf_dir)
+    return locate.similar_pairs(benchmark_entries(spark, sf_dir), locate.line_index(rows, census.running_heads(rows)))
 
 
-SIM = f"""{LINES}, nx as (select *, lead(text) over w as t2, lead(size) over w as s2 from lines window w as (partition by doc_id, page_index order by line_idx)),
+HEADS = f"""hk as (select doc_id, page_index, {sql_folios(sql_norm('text'))} as key, (1 - y / 792.0::double <= 0.18 or 1 - y / 792.0::double >= 0.82) as edge from lines),
+hs as (select doc_id, key, page_index, max(edge) as edge from hk where length(key) >= 3 group by 1, 2, 3), hp as (select doc_id, count(distinct page_index) as pages from lines group by 1),
+hc as (select doc_id, key, count(*) filter (where edge) as edges, count(*) as n from hs group by 1, 2),
+heads as (select doc_id, key from hc join hp using (doc_id) where edges >= greatest(3, ceil(pages * 0.3)) or n >= greatest(4, ceil(pages * 0.5)))"""
+ENTRY_VALUES = ", ".join(f"({i}, '{t}', {3 + 2 * i})" for i, t in enumerate(TITLES))
+SIM = f"""{MORE_LINES}, {HEADS}, nx as (select *, lead(text) over w as t2, lead(size) over w as s2 from lines window w as (partition by doc_id, page_index order by line_idx)),
 ix as (select doc_id, page_index, line_idx, 0 as part, text, size, y from nx where length(text) >= 2 union all select doc_id, page_index, line_idx, 1, text || ' ' || t2, size, y from nx where length(text) >= 2 and t2 <> '' and abs(s2 - size) / greatest(s2, size) < 0.2 and length(text) + length(t2) < 200),
 ik as (select *, {sql_plain(f"regexp_replace(text, '{KEY}', '')")} as k from ix), it as (select *, list_filter(string_split(k, ' '), lambda w: length(w) > 2) as toks from ik where k <> ''),
-en as (select b.doc_id, item_id::int as entry_idx, array_to_string(string_split(text, ' ')[1:6], ' ') as title, (item_id % 40 + 1)::int as printed from benchmark, (select unnest(range(20))::bigint as doc_id) b),
+en as (select b.doc_id, item_id::int as entry_idx, text as title, (item_id % 40 + 1)::int as printed from benchmark, (select distinct case when source is null then -1 else ('0x' || substr(md5(source), 1, 15))::bigint end as doc_id from documents) b
+  union all select {BOOK}, i, t, p from (values {ENTRY_VALUES}) v(i, t, p)),
 ek as (select *, {sql_plain(f"regexp_replace(title, '{KEY}', '')")} as e_k from en), et as (select *, list_filter(string_split(e_k, ' '), lambda w: length(w) > 2) as e_toks from ek),
-pr as (select et.*, it.page_index, it.line_idx, it.part, it.k, it.toks, it.size, it.y, len(list_filter(e_toks, lambda t: list_contains(toks, t))) as hit from et join it using (doc_id)),
-sm as (select *, case when e_k = '' then 0 when e_k = k then 1.0 when starts_with(k, e_k) and length(e_k) >= 8 then 0.94 when starts_with(e_k, k) and length(k) >= 8 then 0.9 when contains(k, e_k) and length(e_k) >= 10 then 0.85
+pr as (select et.*, it.page_index, it.line_idx, it.part, it.text as raw, it.k, it.toks, it.size, it.y, len(list_filter(e_toks, lambda t: list_contains(toks, t))) as hit from et join it using (doc_id)),
+sm as (select *, exists (select 1 from heads h where h.doc_id = pr.doc_id and h.key = {sql_folios(sql_plain('raw'))}) as running, case when e_k = '' then 0 when e_k = k then 1.0 when starts_with(k, e_k) and length(e_k) >= 8 then 0.94 when starts_with(e_k, k) and length(k) >= 8 then 0.9 when contains(k, e_k) and length(e_k) >= 10 then 0.85
   when len(e_toks) = 0 then 0 when hit / len(e_toks)::double < 0.6 then 0 else 0.5::double + 0.3::double * (hit / len(e_toks)::double) + 0.15::double * (hit / greatest(1, len(toks))::double) end::double as sim from pr)"""
 
 
@@ -331,10 +362,10 @@ def title_similarity(spark, sf_dir):
     return title_pairs(spark, sf_dir).select("doc_id", "entry_idx", "page_index", "line_idx", "part", "sim")
 
 
-@query(f"""with {SIM}, b as (select *, row_number() over (partition by doc_id, entry_idx order by sim desc, page_index, line_idx, part) as r from sm where sim >= 0.9), d as (select doc_id, list_sort(list(page_index - printed + 1)) as d from b where r = 1 and size >= 9.8 group by 1)
+@query(f"""with {SIM}, b as (select *, row_number() over (partition by doc_id, entry_idx order by sim desc, page_index, line_idx, part) as r from sm where sim >= 0.9 and not running), d as (select doc_id, list_sort(list(page_index - printed + 1)) as d from b where r = 1 and size >= 9.8 group by 1)
 select doc_id, d[len(d) // 2 + 1]::int as "offset" from d where len(d) >= 2""")
 def page_offsets(spark, sf_dir):
-    styles = spark.range(20).select(F.col("id").alias("doc_id"), F.lit(10.0).alias("body_size"))
+    styles = more_lines(spark, sf_dir).select("doc_id").distinct().withColumn("body_size", F.lit(10.0))
     return locate.estimate_offset(title_pairs(spark, sf_dir), styles)
 
 
@@ -407,8 +438,9 @@ def detect_statistics(spark, sf_dir):
 def printed_contents(spark, sf_dir):
     """Every 25th page of a book is made a contents page of the book's lines."""
     rows = book_lines(spark, sf_dir)
-    page = F.concat(F.substring(F.regexp_replace("text", r"[^\p{L} ]", ""), 1, 40), F.lit(" .... "), (F.col("line_idx") + 2).cast("string"))
-    rows = rows.withColumn("text", F.when((F.col("page_index") == 0) & (F.col("line_idx") == 0), "Contents").when(F.col("page_index") == 0, page).otherwise(F.col("text")))
+    page = F.concat(F.regexp_replace("text", r"[^\p{L} ]", ""), F.lit(" .... "), (F.col("page_index") + F.col("line_idx") + 2).cast("string"))
+    made = F.col("page_index") % 25 == 0
+    rows = rows.withColumn("text", F.when(made & (F.col("line_idx") == 0), "Contents").when(made, page).otherwise(F.col("text")))
     return contents.printed_contents(rows, census.running_heads(rows), census.toc_pages(rows))[0]
 
 
@@ -433,7 +465,7 @@ def reading_order(spark, sf_dir):
 def edited_outlines(spark, sf_dir):
     """A recorded reply applied to the candidates of every order."""
     a, b = two_outlines(spark, sf_dir)
-    candidates = arbitrate.merge_sources(a, b, a.select("doc_id", "page_index", "y", "size", F.col("title").alias("text"), "score").limit(0), b)
+    candidates = arbitrate.merge_sources(a, b, a.select("doc_id", "page_index", "y", "size", F.col("title").alias("text"), "score"), b)
     reply = 'Here it is: {"retirer": [1], "ajouter": [{"i": 2, "l": 9}], "niveaux": [{"i": 3, "l": 2}]} as asked {for}.'
     replies = candidates.select("doc_id").distinct().withColumn("reply", F.lit(reply))
     return model.edit_outline(candidates, replies)

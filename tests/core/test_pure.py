@@ -3,7 +3,6 @@ import random
 
 from folioscope.functions import markup, rows
 from folioscope.operators.contents import attach_folios, indent_levels, join_broken, pasted_levels, printed_levels, stitch
-from folioscope.operators.detect import size_bands
 from folioscope.operators.layout import base_lines, gutters
 from folioscope.operators.locate import monotone_chain
 from folioscope.sinks import epub, pdf as sink
@@ -57,7 +56,6 @@ def test_printed_folds():
 
 
 def test_bands_and_layout():
-    assert size_bands([18, 17.5, 14, 13.9, 12, 10, 8, 6]) == {18: 1, 17.5: 1, 14: 2, 13.9: 2, 12: 3, 10: 4, 8: 5, 6: 5}
     place, heights = base_lines([100.0, 98.0, 80.0], [10.0] * 3)
     assert place == [0, 0, 1] and heights == [(100.0 * 2 + 98) / 3, 80.0]
     import numpy as np
