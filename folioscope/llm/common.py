@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import math
 import os
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,11 +108,20 @@ _CACHES: dict[str, dict] = {}
 
 def cache_of(owner: str) -> dict:
     """What a worker process remembers for one operator; what it remembered for others goes, so that stages don't add up."""
-    for other in [k for k in _CACHES if k != owner]:
-        del _CACHES[other]
+    if owner not in _CACHES:
+        _CACHES.clear()
+        _give_back()
     return _CACHES.setdefault(owner, {})
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: one aggregate over one column."""
     return docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
