@@ -16,19 +16,64 @@ from .tree import rebase_levels, top_per_group
 CLIP = 120
 
 
-def prompts(candidates: DataFrame) -> DataFrame:
+SELECT_TASK = (
+    "You are given lines of a document that may be headings. Answer with a JSON list of the real headings, in reading order, and nothing else: "
+    '[{"i": number of the line, "l": level from 1 to 6}]. Leave out body text, captions, running heads and names of authors.'
+)
+EDIT_TASK = (
+    "You are given a proposed table of contents and other lines of the document. Lines marked as kept stand in the proposal. Each line says which sources propose it: T printed contents, "
+    "D typography, C candidate. Answer with one JSON object and nothing else: "
+    '{"retirer": [numbers of kept lines that are no headings], "ajouter": [{"i": number of a missing heading, "l": level}], "niveaux": [{"i": number of a kept line, "l": right level}]}. Change only what is wrong.'
+)
+MATCH_TASK = (
+    "Titles of a table of contents are given, and for each some lines of the document where it may stand. Answer with a JSON list and nothing else: "
+    '[{"e": number of the title, "i": number of the line, or null if none fits}].'
+)
+
+
+def header(about: DataFrame) -> DataFrame:
+    """doc_id, head: what the model is told of a document (title, pages, body_size, has_toc; any may be absent or null)."""
+    part = lambda name, value: F.when(F.col(name).isNotNull(), value) if name in about.columns else F.lit(None).cast("string")
+    facts = [
+        part("title", F.concat(F.lit("Title: "), F.col("title") if "title" in about.columns else F.lit(""))),
+        part("pages", F.format_string("Pages: %d", F.col("pages").cast("long")) if "pages" in about.columns else None),
+        part("body_size", F.format_string("Size of the body text: %.1f pt", F.col("body_size")) if "body_size" in about.columns else None),
+        part("has_toc", F.when(F.col("has_toc"), "A printed table of contents was found").otherwise("No printed table of contents was found") if "has_toc" in about.columns else None),
+    ]
+    return about.select("doc_id", F.concat_ws("\n", *facts).alias("head"))
+
+
+def _prompt(rows: DataFrame, line, order: str, task: str, about: DataFrame | None) -> DataFrame:
+    """doc_id, prompt: the task, what is known of the document, and a line for each row in order."""
+    lines = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("rows"))
+    if about is not None:
+        lines = lines.join(header(about), "doc_id", "left")
+    head = F.nullif("head", F.lit("")) if about is not None else F.lit(None).cast("string")
+    return lines.select("doc_id", F.concat_ws("\n\n", F.lit(task), head, F.array_join("rows.line", "\n")).alias("prompt"))
+
+
+def _line(tags: bool):
+    kept = F.when(F.col("kept"), F.concat(F.lit(" [kept level "), F.col("kept_level").cast("string"), F.lit("]"))).otherwise("") if tags else F.lit("")
+    sources = F.concat(F.lit(" "), F.array_join("tags", "")) if tags else F.lit("")
+    return F.format_string("[%d] p%d %.1fpt%s%s: %s", "i", F.col("page_index") + 1, F.coalesce("size", F.lit(0.0)), sources, kept, F.substring("text", 1, CLIP))
+
+
+def prompts(candidates: DataFrame, about: DataFrame | None = None, task: str = EDIT_TASK) -> DataFrame:
     """doc_id, prompt: one line per candidate with its number, page, size, sources, kept level and text."""
-    kept = F.when(F.col("kept"), F.concat(F.lit(" [kept level "), F.col("kept_level").cast("string"), F.lit("]"))).otherwise("")
-    line = F.format_string("[%d] p%d %.1fpt %s%s: %s", "i", F.col("page_index") + 1, F.coalesce("size", F.lit(0.0)), F.array_join("tags", ""), kept, F.substring("text", 1, CLIP))
-    rows = candidates.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("rows"))
-    return rows.select("doc_id", F.array_join("rows.line", "\n").alias("prompt"))
+    return _prompt(candidates, _line(True), "i", task, about)
 
 
-def plain_prompts(pool: DataFrame) -> DataFrame:
+def plain_prompts(pool: DataFrame, about: DataFrame | None = None, task: str = SELECT_TASK) -> DataFrame:
     """doc_id, prompt of lines alone, without sources."""
-    line = F.format_string("[%d] p%d %.1fpt: %s", "i", F.col("page_index") + 1, F.coalesce("size", F.lit(0.0)), F.substring("text", 1, CLIP))
-    rows = pool.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("rows"))
-    return rows.select("doc_id", F.array_join("rows.line", "\n").alias("prompt"))
+    return _prompt(pool, _line(False), "i", task, about)
+
+
+def match_prompts(options: DataFrame, about: DataFrame | None = None, task: str = MATCH_TASK) -> DataFrame:
+    """doc_id, prompt: titles that were not found, each followed by the lines where it may stand."""
+    line = F.format_string("  [%d] p%d: %s", "i", F.col("page_index") + 1, F.substring("text", 1, CLIP))
+    title = F.when(F.col("_first"), F.concat(F.format_string("Title %d: %s", "e", F.col("title")), F.lit("\n"))).otherwise("")
+    first = F.row_number().over(Window.partitionBy("doc_id", "e").orderBy("i")) == 1
+    return _prompt(options.withColumn("_first", first), F.concat(title, line), "i", task, about)
 
 
 def ask(asked: DataFrame, provider: Callable[[str], str] | None) -> DataFrame:
@@ -72,12 +117,20 @@ def edit_outline(candidates: DataFrame, replies: DataFrame) -> DataFrame:
     return rows.select("doc_id", "i", F.col("text").alias("title"), F.when(F.col("kept"), F.coalesce("_level", "kept_level")).otherwise(F.col("_added")).alias("level"), "page_index", "y", "size")
 
 
+def proposal(candidates: DataFrame) -> DataFrame:
+    """The headings that stand in the proposal which a model is shown."""
+    return candidates.filter("kept").select("doc_id", "i", F.col("text").alias("title"), F.col("kept_level").alias("level"), "page_index", "y", "size")
+
+
 def accept(base: DataFrame, revised: DataFrame, contract: str = "edit") -> DataFrame:
-    """doc_id, accepted: three headings at least; a selection also 30 % of the base, unless that has fewer than three."""
-    b, r = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("b")), revised.groupBy("doc_id").agg(F.count(F.lit(1)).alias("r"))
-    both = b.join(r, "doc_id", "full").fillna(0, ["b", "r"])
-    good = F.col("r") >= 3
-    return both.select("doc_id", (good & ((F.col("b") < 3) | (F.col("r") >= F.col("b") * 0.3)) if contract == "select" else good).alias("accepted"))
+    """doc_id, accepted: three headings at least; an edit must have changed a heading or its level; a selection needs 30 % of the
+    base, unless that has fewer than three."""
+    side = lambda df, name: df.select("doc_id", "page_index", "title", "level", F.lit(1).alias(name))
+    both = side(base, "b").unionByName(side(revised, "r"), allowMissingColumns=True).fillna(0, ["b", "r"])
+    places = both.groupBy("doc_id", "page_index", "title", "level").agg(F.sum("b").alias("b"), F.sum("r").alias("r"))
+    n = places.groupBy("doc_id").agg(F.sum("b").alias("b"), F.sum("r").alias("r"), F.max(F.col("b") != F.col("r")).alias("changed"))
+    enough = F.col("r") >= 3
+    return n.select("doc_id", (enough & ((F.col("b") < 3) | (F.col("r") >= F.col("b") * 0.3)) if contract == "select" else enough & F.col("changed")).alias("accepted"))
 
 
 def match_options(unmatched: DataFrame, places: DataFrame, questions: int = 25, options: int = 6) -> DataFrame:

@@ -81,7 +81,7 @@ KEY = T.LEADING_NUMBER.replace("'", "''")
 # ---- a small printed book, beside those of the tables
 BOOK = -7
 TITLES = ["Origins of rivers", "Mountain weather", "Coastal erosion", "Desert winds", "Final remarks on land"]
-PRINTED_BOOK = [(0, 0, "Contents", 10.0, "body"), *[(0, 1 + i, f"{t} ..... {3 + 2 * i}", 10.0, "body") for i, t in enumerate(TITLES)], (0, 6, "padding line without any page", 10.0, "body")]
+PRINTED_BOOK = [(0, 9, "Contents", 10.0, "body"), *[(0, 10 + i, f"{t} ..... {3 + 2 * i}", 10.0, "body") for i, t in enumerate(TITLES)], (0, 16, "padding line without any page", 10.0, "body")]
 PRINTED_BOOK += [(3 + 2 * i, 0, t, 16.0, "bold") for i, t in enumerate(TITLES)]
 PRINTED_BOOK += [(p, 1 + k, f"body text on page {p} line {k} which is a rather long line, like those in a book are.", 10.0, "body") for p in range(1, 14) for k in range(5)]
 PRINTED_BOOK += [(14, k, t, 10.0, "body") for k, t in enumerate(["Index", "delta, 12, 14", "erosion, 5-9", "winds, see weather", "weather, 7", "a plain row of the index"])]

@@ -3,12 +3,14 @@ is a batch job over the files that came."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.layout import group_lines
-from ..plans.outline import as_tree, run
+from ..plans.outline import as_tree, refined, run
 from ..sources import pdf
 from ..sources.archive import PDF
 from ..sources.lines import with_heights
@@ -21,18 +23,19 @@ def file_stream(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataF
     return files.select(F.xxhash64("path").alias("doc_id"), "path", F.lit(PDF).alias("mime"), "content")
 
 
-def outlines_of(files: DataFrame) -> DataFrame:
-    """Headings as trees of a batch of PDF files."""
+def outlines_of(files: DataFrame, provider: Callable[[str], str] | None = None, mode: str = "auto") -> DataFrame:
+    """Headings as trees of a batch of PDF files, corrected by a model if one is given."""
     pages = pdf.pages(files)
     lines = with_heights(group_lines(pdf.fragments(files), pages), pages)
-    return as_tree(run(lines, pages).headings)
+    found = run(lines, pages)
+    return as_tree(found.headings if provider is None else refined(found, provider, mode)[0])
 
 
-def write_outlines(stream: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def write_outlines(stream: DataFrame, out: str, checkpoint: str, once: bool = True, provider: Callable[[str], str] | None = None) -> StreamingQuery:
     """Writes each micro-batch's headings as Parquet, one folder per batch, so that a batch that runs again replaces its own."""
 
     def batch(files: DataFrame, number: int) -> None:
-        outlines_of(files).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        outlines_of(files, provider).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
