@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from html import escape
 
 import pandas as pd
@@ -60,7 +62,8 @@ def write_contents(content: bytes, rows: list[dict]) -> bytes:
     if len(rows) < 2:
         raise ValueError("fewer than two headings")
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        entries = {i.filename: z.read(i) for i in z.infolist()}
+        entries = {i.filename: z.read(i) for i in z.infolist() if re.search(r"(?i)\.(?:x?html?|xml|opf|ncx)$", i.filename)}
+    before = dict(entries)
     container = entries["META-INF/container.xml"].decode("utf-8", "replace")
     opf_path = re.search(r"(?is)<rootfile\b[^>]*full-path\s*=\s*[\"']([^\"']+)", container)[1]
     opf = entries[opf_path].decode("utf-8")
@@ -88,13 +91,37 @@ def write_contents(content: bytes, rows: list[dict]) -> bytes:
         entries[home] = nav_document(rows).encode()
         item = f'<item id="folioscope-nav" href="{relative(opf_path, home)}" media-type="application/xhtml+xml" properties="nav"/>'
         entries[opf_path] = re.sub(r"(?i)</((?:\w+:)?)manifest\s*>", lambda m: item + m[0], opf, count=1).encode()
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        if "mimetype" in entries:  # first and stored, as readers expect
-            z.writestr(zipfile.ZipInfo("mimetype"), entries.pop("mimetype"), zipfile.ZIP_STORED)
-        for name, data in entries.items():
-            z.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED)
-    return out.getvalue()
+    return rebuilt(content, {name: data for name, data in entries.items() if name not in before or before[name] != data})
+
+
+def rebuilt(content: bytes, changed: dict[str, bytes]) -> bytes:
+    """The archive with ``changed`` entries replaced or added; all others are copied as they are stored, without unpacking. ``mimetype`` comes first."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        infos = sorted(z.infolist(), key=lambda e: e.filename != "mimetype")
+    parts, directory, at, left = [], [], 0, dict(changed)
+    for name, e in [*((e.filename, e) for e in infos), *((n, None) for n in changed if n not in {e.filename for e in infos})]:
+        if name in changed and name not in left:
+            continue  # a second entry of that name
+        if name in left:
+            data = left.pop(name)
+            packer = zlib.compressobj(9, zlib.DEFLATED, -15)
+            blob, method, crc, size = packer.compress(data) + packer.flush(), zipfile.ZIP_DEFLATED, zlib.crc32(data), len(data)
+        else:
+            start = e.header_offset + 30 + sum(struct.unpack_from("<HH", content, e.header_offset + 26))
+            blob, method, crc, size = content[start : start + e.compress_size], e.compress_type, e.CRC, e.file_size
+        if e is None:
+            when = (0, 33)
+        else:
+            y, month, day, hour, minute, second = e.date_time
+            when = (hour << 11 | minute << 5 | second // 2, (y - 1980) << 9 | month << 5 | day)
+        raw = name.encode("utf-8")
+        common = struct.pack("<HHHHHIIIHH", 20, 0 if raw.isascii() else 1 << 11, method, *when, crc, len(blob), size, len(raw), 0)
+        parts += [b"PK\x03\x04", common, raw, blob]
+        directory.append(b"PK\x01\x02" + struct.pack("<H", 20) + common + struct.pack("<HHHII", 0, 0, 0, e.external_attr if e else 0, at) + raw)
+        at += 30 + len(raw) + len(blob)
+    whole = b"".join(directory)
+    end = b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, len(directory), len(directory), len(whole), at, 0)
+    return b"".join([*parts, whole, end])
 
 
 def write_all(files: DataFrame, headings: DataFrame) -> DataFrame:

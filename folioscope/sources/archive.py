@@ -20,11 +20,11 @@ EPUB, PDF = "application/epub+zip", "application/pdf"
 
 
 def targets(spark: SparkSession, path: str, pattern: str = "*.{pdf,epub}") -> DataFrame:
-    """doc_id, path, mime, content: the PDF and EPUB files below ``path``, each path once."""
+    """doc_id, path, mime, content: the PDF and EPUB files below ``path``; one folder is listed once, so each path is there once."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     head = F.substring("content", 1, 4)
     mime = F.when(head == F.lit(b"%PDF"), PDF).when(head == F.lit(b"PK\x03\x04"), EPUB)
-    return files.dropDuplicates(["path"]).select(F.xxhash64("path").alias("doc_id"), "path", mime.alias("mime"), "content").filter("mime is not null")
+    return files.select(F.xxhash64("path").alias("doc_id"), "path", mime.alias("mime"), "content").filter("mime is not null")
 
 
 def zip_entries(files: DataFrame) -> DataFrame:
@@ -36,6 +36,8 @@ def zip_entries(files: DataFrame) -> DataFrame:
             for doc_id, content in zip(f["doc_id"], f["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        if any(max(e.compress_size, e.file_size, e.header_offset) >= 0xFFFFFFFF for e in z.infolist()):
+                            raise ValueError("64-bit archives are not read")
                         for i, e in enumerate(z.infolist()):
                             at = e.header_offset
                             start = at + 30 + int.from_bytes(content[at + 26 : at + 28], "little") + int.from_bytes(content[at + 28 : at + 30], "little")

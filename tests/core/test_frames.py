@@ -134,6 +134,41 @@ def test_epub_headings_and_writer(spark):
         assert nav.count("<li>") == 3 and "#k" in nav and 'properties="nav"' in z.read("OPS/p.opf").decode() and 'id="toc-1-1"' in z.read("OPS/t x/a.xhtml").decode()
 
 
+def test_untouched_entries_are_copied_as_they_are_stored():
+    changed = epub.rebuilt(book(), {"OPS/b.xhtml": b"new text", "extra/\u00e9.txt": b"added"})
+    with zipfile.ZipFile(io.BytesIO(book())) as a, zipfile.ZipFile(io.BytesIO(changed)) as b:
+        assert b.testzip() is None and b.namelist() == [*a.namelist(), "extra/é.txt"] and b.read("OPS/b.xhtml") == b"new text" and b.read("extra/é.txt") == b"added"
+        for name in ("mimetype", "OPS/p.opf"):
+            x, y = a.getinfo(name), b.getinfo(name)
+            assert (x.compress_type, x.CRC, x.compress_size, x.date_time) == (y.compress_type, y.CRC, y.compress_size, y.date_time)
+
+
+@pytest.mark.parametrize("name", ["example_accepted", "example_matched", "example_prf", "example_gate", "example_choice", "example_keys", "example_markup", "example_pasted", "example_size_bands", "example_wrapped_headings", "example_epub_written"])
+def test_examples(spark, name):
+    from folioscope.plans import examples
+
+    want = duckdb.connect().execute(examples.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    show = lambda rows: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in rows)
+    assert show(map(tuple, examples.QUERIES[name](spark, "").select(*columns).collect())) == show(want.fetchall())
+
+
+def test_a_model_corrects_outlines(spark):
+    rows = [(0, f"Heading number {'abcdefgh'[i]} of the text", 16, "bold") for i in range(1)]
+    for page in range(1, 7):
+        rows.append((page, f"Heading number {'abcdefgh'[page]} of the text", 16, "bold"))
+        rows += [(page, f"body text on page {page} line {k} which is a rather long line, like those in a book are.") for k in range(5)]
+    doc = lines(spark, rows)
+    found = outline.run(doc, doc.select("doc_id", "page_index", F.lit(612.0).alias("width"), "height", F.col("height").alias("view_top")).distinct())
+    before = found.headings.count()
+    seen = []
+    after, sources = outline.refined(found, lambda p: seen.append(p) or '{"retirer": [1], "ajouter": [], "niveaux": []}')
+    assert after.count() == before - 1 and sources.first().used
+    unchanged, sources = outline.refined(found, lambda p: '{"retirer": [], "ajouter": [], "niveaux": []}')
+    assert unchanged.count() == before and not sources.first().used
+    assert outline.refined(found, None)[0].count() == before
+
+
 def test_pdf_frames(spark):
     files = spark.createDataFrame([(1, bytearray(simple_pdf())), (2, bytearray(b"junk"))], "doc_id long, content binary")
     assert {(r.doc_id, r.readable, r.pages) for r in pdf.inspect(files).collect()} == {(1, True, 2), (2, False, 0)}
@@ -143,7 +178,7 @@ def test_pdf_frames(spark):
     assert out[1].status == "ok" and pdf_sink.existing_outline(bytes(out[1].content)) == [(1, "A", 1), (2, "B", 2)] and out[2].status != "ok"
 
 
-@pytest.mark.parametrize("name", ["repeated_lines", "style_census", "heading_scores", "line_predicates", "numbering_kinds", "split_page", "split_trailing", "outline_tree", "prune_levels", "text_keys", "html_text"])
+@pytest.mark.parametrize("name", ["repeated_lines", "style_census", "heading_scores", "line_predicates", "numbering_kinds", "split_page", "split_trailing", "outline_tree", "prune_levels", "text_keys", "html_text", "toc_pages", "index_signs", "page_offsets", "agreement"])
 def test_queries_equal_their_sql(spark, name):
     import __spark_entry__ as entry
 
