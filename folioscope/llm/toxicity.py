@@ -8,7 +8,8 @@ its own calibrated log-odds of standing in a toxic document. A logistic curve of
 number of windows gives the score. Cells are counted crosswise: dictionaries of one half of the sample, documents of the other.
 
 The classifier is fitted on a bounded sample of labelled rows: ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` documents, those with
-the smallest md5 of their ids. Scoring covers every window of every document.
+the smallest md5 of their ids. Their texts stay on the executors: words are counted there, and only the dictionaries' words,
+counts by cell and four numbers for each sampled document come to the driver. Scoring covers every window of every document.
 
 Defined results: null and empty texts have no window and the score of that; null ids are scored and count as not held out
 (their remainder is null); repeated rows are scored alike; without labels of both kinds all scores are 0; an empty table
@@ -18,7 +19,6 @@ gives an empty one; other columns are never read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cache_of, crc_bucket
+from .common import cache_of, crc_bucket, discard, written
 from .encoding import batches
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
@@ -86,71 +86,99 @@ def features(values) -> list[float]:
     return [1.0, top[0], top[1], math.log1p(len(values))]
 
 
-def _ratio(a: int, n: int, b: int, m: int) -> float:
-    """Log-likelihood ratio of a in n against b in m."""
-    p = (a + b) / (n + m)
-    part = lambda k, t: (k * math.log(k / t / p) if k else 0.0) + ((t - k) * math.log((1 - k / t) / (1 - p)) if t > k else 0.0)
-    return 2 * (part(a, n) + part(b, m))
+def _ratio(a, n: int, b, m: int):
+    """Log-likelihood ratio of a in n against b in m, as an expression."""
+    p = (a + b) / F.lit(float(n + m))
+    term = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
+    part = lambda k, t: term(k, t * p) + term(t - k, t * (1 - p))
+    return 2 * (part(a, float(n)) + part(b, float(m)))
 
 
-def dictionaries(sample: list[tuple[set[str], int]]) -> tuple[list[str], list[str]]:
-    """Words of the two dictionaries, the strongest last, where they are cheapest to point to."""
-    counts = Counter(), Counter()
-    n = Counter(y for _, y in sample)
-    for found, y in sample:
-        counts[y].update({w.strip(MARKS) for w in found})
-    more = {w: _ratio(a, n[1], counts[0][w], n[0]) for w, a in counts[1].items() if w and a >= 3 and a / n[1] > 4 * counts[0][w] / n[0]}
-    toxic = sorted((w for w, r in more.items() if r >= 20), key=lambda w: (more[w], w))[-DICT_WORDS:]
-    held = set(toxic)
-    ordinary = [w for w, _ in sorted(counts[0].items(), key=lambda x: (x[1], x[0])) if w not in held][-DICT_WORDS:]
-    return toxic, ordinary
+def dictionaries(counts: DataFrame, n: dict[int, int]) -> tuple[list[str], list[str]]:
+    """Words of the two dictionaries, the strongest last, where they are cheapest to point to. counts: word, a (toxic documents), b (ordinary ones)."""
+    if not n.get(0) or not n.get(1):
+        return [], []
+    telling = (F.col("a") >= 3) & (F.col("a") / n[1] > 4 * F.col("b") / n[0]) & (_ratio(F.col("a"), n[1], F.col("b"), n[0]) >= 20)
+    rows = counts.withColumns({"telling": telling, "strength": F.round(_ratio(F.col("a"), n[1], F.col("b"), n[0]), 9)})
+    toxic = rows.filter("telling").orderBy(F.desc("strength"), F.desc("word")).limit(DICT_WORDS).select("word").collect()
+    ordinary = rows.filter("not telling and b > 0").orderBy(F.desc("b"), F.desc("word")).limit(DICT_WORDS).select("word").collect()
+    return [r.word for r in toxic[::-1]], [r.word for r in ordinary[::-1]]
 
 
-def fit_sample(rows: list[tuple[str | None, int]], share_toxic: float) -> Model:
-    """rows: text and label (1 toxic), in an order that doesn't depend on the label."""
-    sample = [(windows(text), y) for text, y in dict.fromkeys(rows)]
-    if len({y for _, y in sample}) < 2:
-        return Model()
-    halves = sample[::2], sample[1::2]
-    cells, n = (Counter(), Counter()), Counter()
-    placed = []
-    for own, other in (halves, halves[::-1]):
-        if len({y for _, y in own}) < 2:
-            own = sample
-        find = Compressors(*dictionaries(own)).cell
-        known: dict[str, tuple] = {}
-        for found, y in other:
-            at = [known[w] if w in known else known.setdefault(w, find(w)) for w in found]
-            placed.append((at, y))
-            cells[y].update(set(at))
-            n[y] += 1
-    odds = {c: math.log((cells[1][c] + 0.3) / (n[1] + 1)) - math.log((cells[0][c] + 0.9) / (n[0] + 1)) for c in {*cells[0], *cells[1]}}
-    x = np.array([features([odds[c] for c in at]) for at, _ in placed])
-    y = np.array([y for _, y in placed], float)
-    weight = np.where(y == 1, share_toxic / n[1], (1 - share_toxic) / n[0]) * len(y)
-    curve = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton steps of a penalised logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-        gradient = x.T @ (weight * (y - p)) - 0.1 * curve
-        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 0.1 * np.eye(x.shape[1]), gradient)
-        curve += step
-        if np.abs(step).max() < 1e-8:
-            break
-    toxic, ordinary = dictionaries(sample)
-    return Model(toxic, ordinary, odds, curve.tolist())
+def word_counts(sample: DataFrame) -> DataFrame:
+    """word, half, a, b: toxic and ordinary documents of each half of the sample that hold it."""
+
+    def run(stream):
+        for batch in stream:
+            for half, toxic, text in zip(batch.column("half").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
+                words = sorted({w.strip(MARKS) for w in windows(text.as_py())} - {""})
+                for first in range(0, len(words), 100_000):
+                    some = words[first : first + 100_000]
+                    yield pa.record_batch({"word": pa.array(some, pa.string()), "half": pa.array([half] * len(some), pa.int32()), "toxic": pa.array([toxic] * len(some), pa.int32())})
+
+    found = sample.select("half", "toxic", "text").mapInArrow(run, "word string, half int, toxic int")
+    return found.groupBy("word", "half").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_ordinary: int = SAMPLE_ORDINARY) -> Model:
-    """Learns from labelled documents whose crc32(doc_id as text) mod 5 is not 0; a document labelled twice is toxic if any label says so."""
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(crc_bucket(F.col("doc_id"), 5) != 0)
+    """Learns from labelled documents whose crc32(doc_id as text) mod 5 is not 0; a document labelled twice is toxic if any label says so.
+    Of rows with one id, the least text counts; labels other than 0 and 1 are none."""
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(crc_bucket(F.col("doc_id"), 5) != 0)
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = F.md5(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
     picked = [known.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(n) for y, n in ((1, sample_toxic), (0, sample_ordinary))]
     ids = F.broadcast(picked[0].union(picked[1]))  # as many rows as the sample has at most
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("text", "toxic", order.alias("o")).collect()
-    rows.sort(key=lambda r: (r.o, r.toxic, r.text or ""))
-    total = sum(counts.values())
-    return fit_sample([(r.text, int(r.toxic)) for r in rows], counts.get(1, 0) / total if total else 0.0)
+    half = F.pmod(F.conv(F.substring(order, 9, 4), 16, 10).cast("int"), F.lit(2))
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"), F.min(half).alias("half"))
+    sample = written(rows.groupBy("toxic", "text").agg(F.min("half").alias("half")), "toxicity-sample")
+    n = {(r.half, r.toxic): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
+    both = {y: n.get((0, y), 0) + n.get((1, y), 0) for y in (0, 1)}
+    if not both[0] or not both[1]:
+        return Model()
+    words = written(word_counts(sample), "toxicity-words")
+    whole = dictionaries(words.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), both)
+    # a half without one of the kinds gives no dictionaries; those of the whole sample stand in
+    halves = [dictionaries(words.filter(F.col("half") == h), {y: n.get((h, y), 0) for y in (0, 1)}) if n.get((h, 0)) and n.get((h, 1)) else whole for h in (0, 1)]
+
+    def cells_of(stream, odds):
+        known = [{}, {}]
+        find = [Compressors(*d).cell for d in halves]
+        for batch in stream:
+            for half, toxic, text in zip(batch.column("half").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
+                own, cell = known[1 - half], find[1 - half]
+                if len(own) > CACHE_WINDOWS:
+                    own.clear()
+                at = [own[w] if w in own else own.setdefault(w, cell(w)) for w in windows(text.as_py())]
+                if odds is None:
+                    a, b, c = np.array(sorted(set(at)), np.int32).reshape(-1, 3).T
+                    yield pa.record_batch({"toxic": pa.array([toxic] * len(a), pa.int32()), "a": pa.array(a), "b": pa.array(b), "c": pa.array(c)})
+                else:
+                    yield pa.record_batch({"toxic": [float(toxic)], "x": pa.array([features([odds[c] for c in at])], pa.list_(pa.float64()))})
+
+    columns = sample.select("half", "toxic", "text")
+    seen = columns.mapInArrow(lambda s: cells_of(s, None), "toxic int, a int, b int, c int").groupBy("toxic", "a", "b", "c").count().collect()  # as many as there are cells
+    times: tuple[dict, dict] = {}, {}
+    for r in seen:
+        times[r.toxic][(r.a, r.b, r.c)] = r["count"]
+    odds = {c: math.log((times[1].get(c, 0) + 0.3) / (both[1] + 1)) - math.log((times[0].get(c, 0) + 0.9) / (both[0] + 1)) for c in {*times[0], *times[1]}}
+    placed = columns.mapInArrow(lambda s: cells_of(s, odds), "toxic double, x array<double>").collect()  # four numbers for each document of the sample
+    discard(sample, words)
+    placed.sort(key=lambda r: (r.toxic, r.x))
+    return Model(*whole, odds, curve(np.array([r.x for r in placed]), np.array([r.toxic for r in placed]), counts[1] / sum(counts.values())))
+
+
+def curve(x: np.ndarray, y: np.ndarray, share_toxic: float) -> list[float]:
+    """Weights of a penalised logistic regression, by Newton steps; the classes weigh as in all labels."""
+    weight = np.where(y == 1, share_toxic / (y == 1).sum(), (1 - share_toxic) / (y == 0).sum()) * len(y)
+    out = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ out, -30, 30)))
+        gradient = x.T @ (weight * (y - p)) - 0.1 * out
+        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 0.1 * np.eye(x.shape[1]), gradient)
+        out += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return out.tolist()
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:

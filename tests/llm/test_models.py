@@ -76,6 +76,11 @@ def test_toxicity_on_held_out_rows(spark, docs):
     fresh = [d for d in kind if zlib.crc32(str(d).encode()) % 5 == 0]
     assert sum(seen[d] == kind[d] for d in fresh) >= 0.95 * len(fresh)
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    again = toxicity.score(frame, toxicity.fit(frame.repartition(7), truth.union(truth)), ["doc_id"]).collect()
+    assert sorted((str(r.doc_id), r.score) for r in again) == sorted((str(r.doc_id), r.score) for r in got)
+    odd = spark.createDataFrame([(100, None, None), (None, 1, 1), (101, 1, 0), (101, 1, 1), (9999, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(frame, toxicity.fit(frame, odd), ["doc_id"]).count() == len(rows)
+    assert toxicity.score(docs([]), toxicity.fit(docs([]), truth), ["doc_id"]).count() == 0
     none = toxicity.fit(frame, truth.limit(0))
     assert {r.score for r in toxicity.score(frame, none, ["doc_id"]).collect()} == {0.0}
 
