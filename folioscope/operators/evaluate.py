@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import same_title, truth_key, upper_median
@@ -70,3 +70,17 @@ def good_truth(truth: DataFrame, documents: DataFrame) -> DataFrame:
 def outcomes(rows: DataFrame) -> DataFrame:
     """Files by status."""
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, file, page_count, seq, level, title, page of true outlines in JSON: a list of objects with file, pages and toc, whose
+    items are [level, title, page from 1]."""
+    raw = spark.read.option("multiLine", "true").schema("file string, pages int, toc array<array<string>>").json(path)
+    rows = raw.select(F.xxhash64("file").alias("doc_id"), "file", F.col("pages").alias("page_count"), F.posexplode("toc").alias("p", "t"))
+    item = lambda i: F.get("t", F.lit(i))
+    return rows.select("doc_id", "file", "page_count", (F.col("p") + 1).alias("seq"), item(0).cast("int").alias("level"), item(1).alias("title"), item(2).cast("int").alias("page"))
+
+
+def by_source(sources: DataFrame) -> DataFrame:
+    """Documents and mean agreement of each chosen source."""
+    return sources.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.avg("agree").alias("agree"))

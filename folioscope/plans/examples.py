@@ -287,3 +287,27 @@ def example_epub_headings(spark, sf_dir):
 def example_epub_written(spark, sf_dir):
     files = spark.createDataFrame([(1, bytearray(small_epub())), (2, bytearray(b"PK broken"))], "doc_id long, content binary")
     return epub.write_all(files, archive.epub_headings(archive.zip_entries(files))).select("doc_id", "status")
+
+
+# ---- around the plan
+@example("doc_id long, text string, pages long, entries long", (BOOK, "\n".join(f"{t}  {3 + 2 * i}" for i, t in enumerate(TITLES)), 14, 5))
+def example_prepared(spark, sf_dir):
+    """The draft that a user is offered: the printed contents, without the row that has no page."""
+    rows = book(spark)[0].filter("text not like 'padding%'")
+    return outline.prepared(rows)[0].select("doc_id", "text", F.col("pages").cast("long").alias("pages"), "entries")
+
+
+@example("doc_id long, text string, headings long", (1, "One\n    Two", 3))
+def example_preview(spark, sf_dir):
+    rows = spark.createDataFrame([(1, 1, 1, "One"), (1, 3, 1, "Three"), (1, 2, 2, "Two")], "doc_id long, seq int, level int, title string")
+    return outline.preview(rows, 2)
+
+
+@example("doc_id long, step string, note string", (BOOK, "lines", "14 pages, body 10.0 pt, 1 running heads"), (BOOK, "typography", "5 candidates, 5 headings, mean score 8.5"), (BOOK, "contents", "printed pages are off by 1"), (BOOK, "choice", "printed table of contents, agreement 100 %"))
+def example_report(spark, sf_dir):
+    return outline.report(outline.run(*book(spark)))
+
+
+@example("source string, documents long, agree double", ("contents", 2, 0.75), ("typography", 1, None))
+def example_by_source(spark, sf_dir):
+    return evaluate.by_source(spark.createDataFrame([(1, "contents", 0.5), (2, "contents", 1.0), (3, "typography", None)], "doc_id long, source string, agree double"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from dataclasses import dataclass, field
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from ..schemas import FRAGMENT, PAGE
 
 WHITE, DELIMITERS = b"\0\t\n\f\r ", b"()<>[]{}/%"
+#: Seconds for one page, and pages in a row that may fail before a file is given up.
+PAGE_SECONDS, STALLS = 20.0, 3
 MAX_PAGES, MAX_DEPTH = 20_000, 64
 
 
@@ -408,8 +411,9 @@ def _times(a, b):
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 
 
-def page_fragments(pdf: Pdf, page: dict) -> list[tuple]:
-    """text, x, y, size, width, font, b, c of the strings that a page shows; y grows upwards."""
+def page_fragments(pdf: Pdf, page: dict, seconds: float = PAGE_SECONDS) -> list[tuple]:
+    """text, x, y, size, width, font, b, c of the strings that a page shows; y grows upwards. ``TimeoutError`` after ``seconds``."""
+    deadline = time.monotonic() + seconds
     contents = pdf.get(page.get("Contents"))
     parts = [pdf.get(c) for c in contents] if isinstance(contents, list) else [contents]
     data = b"\n".join(pdf.decode(p) for p in parts if isinstance(p, Stream))
@@ -438,6 +442,8 @@ def page_fragments(pdf: Pdf, page: dict) -> list[tuple]:
             stack.append(value)
             continue
         op, args, stack = bytes(value), stack, []
+        if time.monotonic() > deadline:
+            raise TimeoutError("page takes too long")
         try:
             if op == b"q":
                 saved.append((ctm, font, size, leading, spacing, stretch))
@@ -504,26 +510,63 @@ def inspect(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").mapInPandas(run, "doc_id long, readable boolean, encrypted boolean, has_outline boolean, pages int, xref_stream boolean, message string")
 
 
+def read_pages(content: bytes, one, most: int = MAX_PAGES, stalls: int = STALLS):
+    """(page number, rows of ``one(pdf, page, number)`` or the error) of each page; a file that fails is opened once more, and
+    reading ends after ``stalls`` pages in a row that fail."""
+    try:
+        pdf = Pdf.open(content)
+        found = pdf.pages()[:most]
+    except Exception:
+        pdf = Pdf.open(content)
+        found = pdf.pages()[:most]
+    failed = 0
+    for i, (_, page) in enumerate(found):
+        try:
+            rows = one(pdf, page, i)
+            failed = 0
+            yield i, rows
+        except Exception as e:  # a page that can't be read is left out
+            failed += 1
+            yield i, e
+            if failed >= stalls:
+                return
+
+
 def _read(files: DataFrame, one, schema: str, most: int) -> DataFrame:
     def run(frames):
         for f in frames:
             for doc_id, content in zip(f["doc_id"], f["content"], strict=True):
+                rows = []
                 try:
-                    pdf = Pdf.open(bytes(content))
-                    pages = pdf.pages()[:most]
-                except Exception:
+                    for _, found in read_pages(bytes(content), lambda pdf, page, i, doc_id=doc_id: one(pdf, page, doc_id, i), most):
+                        rows += [] if isinstance(found, Exception) else found
+                except Exception:  # ``report`` says why
                     continue
-                rows = []
-                for i, (_, page) in enumerate(pages):
-                    try:
-                        rows += one(pdf, page, doc_id, i)
-                    except Exception:  # a page that can't be read is left out
-                        continue
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return files.select("doc_id", "content").mapInPandas(run, schema)
 
 
+def report(files: DataFrame, most: int = MAX_PAGES) -> DataFrame:
+    """doc_id, status (ok, aborted or unreadable), pages, read, skipped, message: what became of each file's pages."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for doc_id, content in zip(f["doc_id"], f["content"], strict=True):
+                try:
+                    pages = len(Pdf.open(bytes(content)).pages())
+                    found = list(read_pages(bytes(content), lambda pdf, page, i: page_fragments(pdf, page), most))
+                    errors = [e for _, e in found if isinstance(e, Exception)]
+                    status = "ok" if len(found) == min(pages, most) else "aborted"
+                    out.append((doc_id, status, pages, len(found) - len(errors), pages - len(found) + len(errors), str(errors[0])[:200] if errors else None))
+                except Exception as e:
+                    out.append((doc_id, "unreadable", 0, 0, 0, str(e)[:200]))
+            yield pd.DataFrame(out, columns=["doc_id", "status", "pages", "read", "skipped", "message"])
+
+    return files.select("doc_id", "content").mapInPandas(run, "doc_id long, status string, pages int, read int, skipped int, message string")
+
+
 def pages(files: DataFrame, most: int = MAX_PAGES) -> DataFrame:
     """Page sizes of PDF files (doc_id, content)."""
     return _read(files, lambda pdf, page, doc_id, i: [(doc_id, i, *_box(pdf, page))], PAGE, most)

@@ -191,3 +191,29 @@ def test_queries_equal_their_sql(spark, name):
     show = lambda rows: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in rows)
     key = lambda rows: sorted(map(str, show(rows)))
     assert key(map(tuple, entry.queries()[name](spark, folder).select(*columns).collect())) == key(want.fetchall())
+
+
+def test_pages_that_fail_are_counted_and_files_replaced(spark, tmp_path):
+    from folioscope.sinks import files as sink
+
+    good = simple_pdf()
+    assert [type(x).__name__ for _, x in pdf.read_pages(good, lambda p, page, i: 1 / 0, stalls=1)] == ["ZeroDivisionError"]
+    with pytest.raises(TimeoutError):
+        document = pdf.Pdf.open(good)
+        pdf.page_fragments(document, document.pages()[0][1], seconds=-1)
+    frame = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"junk"))], "doc_id long, content binary")
+    assert {(r.doc_id, r.status, r.read) for r in pdf.report(frame).collect()} == {(1, "ok", 2), (2, "unreadable", 0)}
+    path = tmp_path / "a b.pdf"
+    path.write_bytes(b"first")
+    files = spark.createDataFrame([(1, str(path)), (2, str(tmp_path / "gone.pdf")), (3, "x")], "doc_id long, path string")
+    for content in (b"second", b"third"):
+        rows = spark.createDataFrame([(1, "ok", None, bytearray(content)), (2, "ok", None, bytearray(content)), (3, "skipped", "why", None)], "doc_id long, status string, message string, content binary")
+        assert {(r.doc_id, r.status) for r in sink.replace(files, rows).collect()} == {(1, "replaced"), (2, "error"), (3, "skipped")}
+    assert path.read_bytes() == b"third" and (tmp_path / "a b.pdf.original").read_bytes() == b"first" and not list(tmp_path.glob("*.part"))
+
+
+def test_truth_from_json(spark, tmp_path):
+    from folioscope.operators import evaluate
+
+    (tmp_path / "t.json").write_text('[{"file": "a", "pages": 70, "toc": [[1, "One", 3], [2, "Two", 0]]}, {"file": "b", "pages": 3, "toc": []}]')
+    assert [(r.file, r.page_count, r.seq, r.level, r.title, r.page) for r in evaluate.read_truth(spark, str(tmp_path / "t.json")).orderBy("seq").collect()] == [("a", 70, 1, 1, "One", 3), ("a", 70, 2, 2, "Two", 0)]
