@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -12,12 +13,12 @@ from folioscope.llm.common import fresh_path, written
 from folioscope.llm.encoding import PieceEncoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-TEXTS = st.lists(st.text(st.sampled_from(list("ab Zé\n\n  \t'.,3ß  \x1c\x85ñ‰한😀ΣḰ-")) | st.characters(), max_size=40), max_size=6)
-ENCODERS = {}
+TEXTS = st.lists(st.text(st.sampled_from(list("ab Zé\n\n  \t'.,3ß  \x1c\x85ñ‰한😀ΣḰ-")) | st.characters(codec="utf-8"), max_size=40), max_size=6)
+tokenizer, encoder = functools.cache(Tokenizer.from_file), functools.cache(PieceEncoder)
 
 
 def plain(file, texts, end):
-    t = ENCODERS.setdefault(file, Tokenizer.from_file(file))
+    t = tokenizer(file)
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
@@ -28,11 +29,11 @@ def test_reserved_strings_give_the_ids_of_the_plain_call():
         assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == plain(file, texts, 2)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(TEXTS)
 def test_pieces_give_the_ids_of_the_whole_text(texts):
     for file, keeps in ((BYTE, True), (WORD, False)):
-        encode = ENCODERS.setdefault((file, keeps), PieceEncoder(file, 2, keeps, cache_pieces=50))
+        encode = encoder(file, 2, keeps, 50)
         flat, n = encode(texts)
         cut = [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] if texts else []
         assert cut == plain(file, texts, 2)
