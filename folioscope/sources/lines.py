@@ -42,7 +42,8 @@ def from_documents(documents: DataFrame) -> DataFrame:
     """
     rows = documents.filter("text is not null").select(book_number(F.col("source")).alias("book"), F.col("doc_id").alias("n"), "text")
     numbers = page_numbers(documents.filter("text is not null")).select(F.col("book").alias("_b"), F.col("n").alias("_n"), "page_index")
-    rows = rows.join(numbers, (F.col("book") == F.col("_b")) & F.col("n").eqNullSafe(F.col("_n")))
+    # texts are dealt out evenly by the join, also where a small table has all of them in one split
+    rows = rows.join(numbers.hint("shuffle_hash"), (F.col("book") == F.col("_b")) & F.col("n").eqNullSafe(F.col("_n")))
     line = rows.select(F.col("book").alias("doc_id"), "page_index", F.coalesce("n", F.lit(0)).alias("n"), F.posexplode(F.split("text", "\n")).alias("line_idx", "text"))
     k = F.pmod(F.col("n") * 7 + F.col("line_idx") * 13, F.lit(11))
     size = F.when(k == 0, 18.0).when(k == 1, 14.0).when(k == 2, 12.0).otherwise(10.0)
