@@ -32,7 +32,7 @@ from .wavelet import tokenizer_file
 BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Distinct parts that a worker remembers; beyond that it forgets the rare ones.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 200_000
 _PARTS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 NORMAL, CONTROL, USER_DEFINED, BYTE = 1, 3, 4, 6
 
@@ -114,7 +114,7 @@ class PartEncoder(PieceEncoder):
     zero character first; that character alone stands for the begin id."""
 
     def __init__(self, core, ids: tuple[int, int], cuts: bool, breaks: bool, cache_parts: int):
-        self.core, self.begin_id, self.end_id, self.cuts, self.breaks, self.cache_pieces, self.dtype = core, *ids, cuts, breaks, cache_parts, np.dtype(np.int32)
+        self.core, self.begin_id, self.end_id, self.cuts, self.breaks, self.cache_pieces, self.dtype = core, *ids, cuts, breaks, cache_parts, np.uint16 if core.get_piece_size() <= 1 << 16 else np.int32
         self._clear()
 
     def _pieces(self, text: str) -> list[str]:
@@ -246,23 +246,27 @@ def _shared(file: str) -> SpanEncoder:
     return held[file]
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids, begins, ends (all three little-endian unsigned 32-bit), n_bytes, covered (bytes of the text that lie in a span)."""
+def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids, begins, ends (all three little-endian unsigned 32-bit), n_bytes, covered (bytes of the text that lie in a
+    span); with ``decoded`` the text of the ids too, by the same worker."""
 
     def run(stream):
         spans = _shared(model)
         for batch in stream:
-            for texts, rest in batches(batch, 1 << 20):
+            for texts, rest in batches(batch, 1 << 19):
                 ids, begins, ends, n = spans(texts)
                 last = np.cumsum(n)
                 cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(last - n, last, strict=True)], pa.binary())  # noqa: B023, E731
                 covered = np.concatenate([[0], np.cumsum(ends - begins, dtype=np.int64)])
-                yield pa.record_batch({
+                columns = {
                     "doc_id": rest.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(n), "ids": cut(ids.astype("<u4")), "begins": cut(begins.astype("<u4")), "ends": cut(ends.astype("<u4")),
                     "n_bytes": pa.array([len((t or "").encode()) for t in texts], pa.int64()), "covered": pa.array(covered[last] - covered[last - n]),
-                })
+                }
+                if decoded:
+                    columns["decoded"] = pa.array(spans.decode([ids[i:j].tolist() for i, j in zip(last - n, last, strict=True)]), pa.string())
+                yield pa.record_batch(columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, begins binary, ends binary, n_bytes long, covered long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, begins binary, ends binary, n_bytes long, covered long" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -288,7 +292,5 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op12: all ``documents``, digests of ids and of the decoded texts."""
-    file = tokenizer_file(MODEL)
-    found = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), file)
-    found = decode(found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "n_bytes", "covered", "ids"), file)
-    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "n_bytes", "covered")
+    found = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file(MODEL), decoded=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "n_bytes", "covered")

@@ -70,6 +70,8 @@ def test_documents(spark, docs):
         want.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), library.decode(ids), len((text or "").encode())))
     assert sorted(((r.doc_id, r.n_tokens, r.sha, r.decoded, r.covered) for r in got), key=str) == sorted(want, key=str)
     assert all(r.n_bytes == r.covered for r in got)
+    both = piece_spans.encode(docs(ROWS), FILE, decoded=True).select("doc_id", "n_tokens", F.sha2("ids", 256), "decoded", "covered").collect()
+    assert sorted(map(tuple, both), key=str) == sorted(want, key=str)
 
 
 def test_spans_cut_the_text(docs):
