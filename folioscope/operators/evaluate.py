@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import same_title, truth_key, upper_median
+from ..functions.text import same_title, truth_key
 from .fold import fold
+from .ranks import upper_median_of
 
 
 def greedy_match(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """doc_id, seq, truth_seq: each found heading takes the first unused true one of the same title within a page."""
-    f = found.select("doc_id", "seq", "page_index", truth_key(F.col("title")).alias("k")).alias("f")
+    """doc_id, seq, truth_seq: each found heading takes the first unused true one of the same title within a page.
+
+    Titles are the same only where their first eight letters are, so the headings of a document that begin alike are matched by
+    themselves: pairs come in order, and only which headings are used up is remembered.
+    """
+    head = lambda k: F.substring(k, F.lit(1), F.lit(8))
+    f = found.select("doc_id", "seq", "page_index", truth_key(F.col("title")).alias("k")).withColumn("head", head(F.col("k"))).alias("f")
     t = truth.filter("page >= 1").select("doc_id", F.col("seq").alias("truth_seq"), (F.col("page") - 1).alias("p"), truth_key(F.col("title")).alias("tk"))
-    t = t.withColumn("page_index", F.explode(F.sequence(F.col("p") - 1, F.col("p") + 1))).alias("t")
-    pairs = f.join(t, (F.col("f.doc_id") == F.col("t.doc_id")) & (F.col("f.page_index") == F.col("t.page_index")) & same_title(F.col("k"), F.col("tk"))).select("f.doc_id", "seq", "truth_seq")
-
-    def take(rows: list[dict]) -> list[dict]:
-        used, taken, out = set(), set(), []
-        for r in sorted(rows, key=lambda r: (r["seq"], r["truth_seq"])):
-            if r["seq"] not in taken and r["truth_seq"] not in used:
-                taken.add(r["seq"])
+    t = t.withColumns({"page_index": F.explode(F.sequence(F.col("p") - 1, F.col("p") + 1)), "head": head(F.col("tk"))}).alias("t")
+    same = (F.col("f.doc_id") == F.col("t.doc_id")) & (F.col("f.page_index") == F.col("t.page_index")) & (F.col("f.head") == F.col("t.head"))
+    pairs = f.join(t, same & same_title(F.col("k"), F.col("tk"))).select("f.doc_id", "f.head", "seq", "truth_seq")
+
+    def take(rows):
+        used, last = set(), None
+        for r in rows:
+            if r["seq"] != last and r["truth_seq"] not in used:
+                last = r["seq"]
                 used.add(r["truth_seq"])
-                out.append(r)
-        return out
+                yield r
 
-    return fold(pairs, ["doc_id"], take, "doc_id long, seq int, truth_seq int")
+    return fold(pairs, ["doc_id", "head"], take, "doc_id long, seq int, truth_seq int", ["seq", "truth_seq"], lazily=True)
 
 
 def prf(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -39,8 +45,9 @@ def prf(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def summary(scores: DataFrame) -> DataFrame:
-    """Macro averages and the upper median of F1."""
-    return scores.agg(F.count(F.lit(1)).alias("documents"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("mean_f1"), upper_median(F.collect_list("f1")).alias("median_f1"))
+    """Macro averages and the upper median of F1; the median is selected by counts, no list of scores is made."""
+    rows = scores.agg(F.count(F.lit(1)).alias("documents"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("mean_f1"))
+    return rows.withColumn("median_f1", F.lit(upper_median_of(scores, "f1")).cast("double"))
 
 
 def uplift(without: DataFrame, with_model: DataFrame) -> DataFrame:

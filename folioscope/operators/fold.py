@@ -1,21 +1,71 @@
-"""A document's rows folded in Python: groups come as lists of dicts, and so do results."""
+"""Folds in Python over sorted Arrow streams: rows of one group lie together, whatever number of groups a batch holds.
+
+Spark deals the rows out by key and sorts them within each partition, so a partition is one stream in which a group may begin and
+end anywhere. No call is made and no table is built for a group; what is carried from batch to batch is the group that is open.
+A function that takes its rows as they come (``lazily``) holds no group at all.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Rows of a result batch.
+ROWS = 8192
+
+
+def sorted_stream(df: DataFrame, keys: list[str], order: list = ()) -> DataFrame:
+    """Rows of a key in one partition, next to each other, in order."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def records(stream: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict]]:
+    """Key and row of each row of the batches."""
+    for batch in stream:
+        names = batch.schema.names
+        columns = [c.to_pylist() for c in batch.columns]
+        places = [names.index(k) for k in keys]
+        for key, row in zip(zip(*(columns[i] for i in places), strict=True), zip(*columns, strict=True), strict=True):
+            yield key, dict(zip(names, row, strict=True))
+
 
-def fold(df: DataFrame, keys: list[str], function: Callable[[list[dict]], list[dict]], schema: str | StructType) -> DataFrame:
-    """``function`` over the rows of each group; missing columns of its results are null. A group is one document or page."""
+def batched(rows: Iterable[dict], schema: pa.Schema, size: int = ROWS) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+def fold(df: DataFrame, keys: list[str], function: Callable[[list[dict] | Iterator[dict]], Iterable[dict]], schema: str | StructType, order: list = (), lazily: bool = False) -> DataFrame:
+    """``function`` over the rows of each group, sorted by ``order``: a list of them, or ``lazily`` an iterator, of which what it leaves is
+    skipped. Columns that its results lack are null. A group is one document or page."""
     target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(target)
 
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(function(table.to_pylist()), schema=arrow)
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = groupby(records(stream, keys), itemgetter(0))
+        found = (row for _, group in groups for row in function(_rows(group) if lazily else list(_rows(group))))
+        return batched(found, arrow)
+
+    return sorted_stream(df, keys, order).mapInArrow(run, target)
+
+
+def _rows(group: Iterator[tuple[tuple, dict]]) -> Iterator[dict]:
+    return (row for _, row in group)
+
 
-    return df.groupBy(*keys).applyInArrow(run, target)
+def tagged(keys: list[str], first: DataFrame, second: DataFrame, order: list = ()) -> DataFrame:
+    """Two tables as one sorted stream: of each key, the rows of ``first`` come before those of ``second`` (column ``tag``: 0, 1)."""
+    both = first.withColumn("tag", F.lit(0)).unionByName(second.withColumn("tag", F.lit(1)), allowMissingColumns=True)
+    return sorted_stream(both, keys, ["tag", *order])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import global_rank
+
 
 def rebase_levels(rows: DataFrame, key: str = "doc_id", level: str = "level") -> DataFrame:
     """Shifts levels so that the least of a document is 1."""
@@ -61,8 +63,9 @@ def top_per_group(rows: DataFrame, keys: list[str], order: list, n: int) -> Data
 
 def systematic_sample(rows: DataFrame, order: list, step: int, key: str | None = None) -> DataFrame:
     """Every ``step``-th row in order, from the first; per ``key`` where that is given."""
-    window = Window.partitionBy(key if key else F.lit(0)).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(window)).filter((F.col("_r") - 1) % step == 0).drop("_r")
+    if key is None:
+        return global_rank(rows, order, "_r").filter(F.col("_r") % step == 0).drop("_r")
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter((F.col("_r") - 1) % step == 0).drop("_r")
 
 
 def style_votes(rows: DataFrame, style: str = "style", level: str = "level") -> DataFrame:
