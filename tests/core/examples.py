@@ -1,4 +1,4 @@
-"""Queries over small examples whose results were worked out by hand: the SQL of each is the list of its expected rows.
+"""Small examples whose results were worked out by hand: the SQL of each is the list of its expected rows.
 
 They cover compositions and folds for which the tables hold nothing suitable or SQL has no words.
 """
@@ -11,13 +11,27 @@ import zipfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import markup, text as T
-from ..operators import arbitrate, census, contents, detect, evaluate, layout, locate, model
-from ..operators import predicates as P
-from ..sinks import epub
-from ..sources import archive
-from . import outline
-from .queries import BOOK, TITLES, printed_book
+from folioscope.functions import markup, text as T
+from folioscope.operators import arbitrate, census, contents, detect, evaluate, layout, locate, model
+from folioscope.operators import predicates as P
+from folioscope.sinks import epub
+from folioscope.sources import archive
+from folioscope.plans import outline
+
+# ---- a small printed book
+BOOK = -7
+TITLES = ["Origins of rivers", "Mountain weather", "Coastal erosion", "Desert winds", "Final remarks on land"]
+PRINTED_BOOK = [(0, 9, "Contents", 10.0, "body"), *[(0, 10 + i, f"{t} ..... {3 + 2 * i}", 10.0, "body") for i, t in enumerate(TITLES)], (0, 16, "padding line without any page", 10.0, "body")]
+PRINTED_BOOK += [(3 + 2 * i, 0, t, 16.0, "bold") for i, t in enumerate(TITLES)]
+PRINTED_BOOK += [(p, 1 + k, f"body text on page {p} line {k} which is a rather long line, like those in a book are.", 10.0, "body") for p in range(1, 14) for k in range(5)]
+PRINTED_BOOK += [(14, k, t, 10.0, "body") for k, t in enumerate(["Index", "delta, 12, 14", "erosion, 5-9", "winds, see weather", "weather, 7", "a plain row of the index"])]
+def printed_book(spark) -> DataFrame:
+    rows = spark.createDataFrame([(BOOK, *r) for r in PRINTED_BOOK], "doc_id long, page_index int, line_idx int, text string, size double, font string")
+    return rows.select(
+        "doc_id", "page_index", "line_idx", "text", F.lit(72.0).alias("x"), (F.lit(72.0) + F.length("text") * 5).alias("x_end"), (780 - 7 * F.col("line_idx")).cast("double").alias("y"), F.lit(0).alias("col"),
+        "size", F.col("size").alias("max_size"), "font", F.lit(1).alias("n_frags"), F.lit(792.0).alias("height"),
+    )
+
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -14,6 +14,8 @@ from folioscope.sinks import pdf as pdf_sink
 from folioscope.sources import archive, pdf
 from tests.core.test_pure import simple_pdf
 
+from . import examples
+
 LINE = "doc_id long, page_index int, line_idx int, text string, x double, y double, size double, font string, height double"
 
 
@@ -143,10 +145,8 @@ def test_untouched_entries_are_copied_as_they_are_stored():
             assert (x.compress_type, x.CRC, x.compress_size, x.date_time) == (y.compress_type, y.CRC, y.compress_size, y.date_time)
 
 
-@pytest.mark.parametrize("name", ["example_accepted", "example_matched", "example_prf", "example_gate", "example_choice", "example_keys", "example_markup", "example_pasted", "example_size_bands", "example_wrapped_headings", "example_epub_written"])
+@pytest.mark.parametrize("name", sorted(examples.QUERIES))
 def test_examples(spark, name):
-    from folioscope.plans import examples
-
     want = duckdb.connect().execute(examples.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
     show = lambda rows: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in rows)
