@@ -74,8 +74,12 @@ def title_key(text: Column) -> Column:
     return plain(F.regexp_replace(text, LEADING_NUMBER, ""))
 
 
+def key_tokens(key: Column) -> Column:
+    return F.filter(F.split(key, " "), lambda w: F.length(w) > 2)
+
+
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(title_key(text), " "), lambda w: F.length(w) > 2)
+    return key_tokens(title_key(text))
 
 
 def located_run_key(text: Column) -> Column:

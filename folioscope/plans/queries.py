@@ -357,7 +357,7 @@ def book_entries(spark, sf_dir) -> DataFrame:
     rows = book_lines(spark, sf_dir)
     front = rows.groupBy("doc_id").agg((F.countDistinct("page_index") % 7).alias("front"))
     page = (F.col("page_index") + 1 - F.col("front")).cast("int")
-    pages = rows.filter("line_idx = 0").join(front, "doc_id").select("doc_id", F.col("page_index").alias("entry_idx"), F.trim(F.regexp_extract("text", "^[^.!?:;,]*", 0)).alias("title"), F.when(page > 0, page).alias("printed"))
+    pages = rows.filter("line_idx = 0").join(front, "doc_id").select("doc_id", F.col("page_index").alias("entry_idx"), F.trim(F.regexp_extract("text", "^[^.!?]*", 0)).alias("title"), F.when(page > 0, page).alias("printed"))
     documents = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", L.book_number(F.col("source")).alias("book"))
     items = table(spark, sf_dir, "benchmark").join(documents, F.col("item_id") == F.col("doc_id")).select(F.col("book").alias("doc_id"), (F.col("item_id") + 1_000_000).cast("int").alias("entry_idx"), F.col("text").alias("title"), (F.col("item_id") % 40 + 1).cast("int").alias("printed"))
     return pages.unionByName(items).select("doc_id", "entry_idx", "title", F.lit(1).alias("level"), "printed", F.lit(False).alias("roman"))
@@ -372,7 +372,7 @@ SIM = f"""{MADE_LINES}, {HEADS}, nx as (select *, lead(text) over w as t2, lead(
 ix as (select doc_id, page_index, line_idx, 0 as part, text, size, y from nx where length(text) >= 2 union all select doc_id, page_index, line_idx, 1, text || ' ' || t2, size, y from nx where length(text) >= 2 and t2 <> '' and abs(s2 - size) / greatest(s2, size) < 0.2 and length(text) + length(t2) < 200),
 ik as (select *, {sql_plain(f"regexp_replace(text, '{KEY}', '')")} as k from ix), it as (select *, list_filter(string_split(k, ' '), lambda w: length(w) > 2) as toks from ik where k <> ''),
 fr as (select doc_id, count(distinct page_index) % 7 as front from tables_ group by 1),
-en as (select t.doc_id, page_index as entry_idx, trim(regexp_extract(text, '^[^.!?:;,]*', 0)) as title, case when page_index + 1 - front > 0 then (page_index + 1 - front)::int end as printed from tables_ t join fr using (doc_id) where line_idx = 0
+en as (select t.doc_id, page_index as entry_idx, trim(regexp_extract(text, '^[^.!?]*', 0)) as title, case when page_index + 1 - front > 0 then (page_index + 1 - front)::int end as printed from tables_ t join fr using (doc_id) where line_idx = 0
   union all select case when source is null then -1 else ('0x' || substr(md5(source), 1, 15))::bigint end, (item_id + 1000000)::int, b.text, (item_id % 40 + 1)::int from benchmark b join documents d on d.doc_id = b.item_id where d.text is not null),
 ek as (select *, {sql_plain(f"regexp_replace(title, '{KEY}', '')")} as e_k from en), et as (select *, list_filter(string_split(e_k, ' '), lambda w: length(w) > 2) as e_toks from ek where e_k <> ''),
 pr as (select et.*, it.page_index, it.line_idx, it.part, it.text as raw, it.k, it.toks, it.size, it.y from et join it using (doc_id)),
