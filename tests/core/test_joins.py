@@ -38,7 +38,10 @@ def test_no_pair_of_common_tokens_is_proposed(spark):
 
 def sequential(found, truth, key):
     used, out = set(), []
-    same = lambda a, b: a and b and (a == b or len(min(a, b, key=len)) >= 8 and max(a, b, key=len).startswith(min(a, b, key=len)))
+    def same(a, b):
+        short, long_ = sorted((a, b), key=len)
+        return a == b != "" or len(short) >= 8 and long_.startswith(short)
+
     for seq, title, page in found:
         for tseq, ttitle, tpage in truth:
             if tseq not in used and abs(page - (tpage - 1)) <= 1 and same(key[title], key[ttitle]):
