@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+import unicodedata
 import zlib
 from dataclasses import dataclass, field
 
@@ -395,7 +396,7 @@ class _Font:
         self.name = str(pdf.get(font.get("BaseFont")) or name)
         self.wide = pdf.get(font.get("Subtype")) == "Type0"
         unicode_ = pdf.get(font.get("ToUnicode"))
-        self.map = _unicode_map(pdf.decode(unicode_)) if isinstance(unicode_, Stream) else {}
+        self.map = _unicode_map(pdf.decode(unicode_)) if isinstance(unicode_, Stream) else {} if self.wide else encoded(pdf, pdf.get(font.get("Encoding")))
         self.first, widths = pdf.get(font.get("FirstChar")) or 0, pdf.get(font.get("Widths")) or []
         self.widths = [pdf.get(w) for w in widths]
 
@@ -407,20 +408,78 @@ class _Font:
         return "".join(map(one, codes)), float(sum(width(c) for c in codes))
 
 
+#: Names of glyphs that are neither a letter with a mark, nor a number in their name, nor a letter themselves.
+GLYPHS = {
+    "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",",
+    "hyphen": "-", "minus": "\u2212", "period": ".", "slash": "/", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":",
+    "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{",
+    "bar": "|", "braceright": "}", "asciitilde": "~", "quoteleft": "\u2018", "quoteright": "\u2019", "quotedblleft": "\u201c", "quotedblright": "\u201d", "quotesinglbase": "\u201a", "quotedblbase": "\u201e",
+    "guillemotleft": "\u00ab", "guillemotright": "\u00bb", "guilsinglleft": "\u2039", "guilsinglright": "\u203a", "endash": "\u2013", "emdash": "\u2014", "bullet": "\u2022", "ellipsis": "\u2026", "periodcentered": "\u00b7",
+    "dagger": "\u2020", "daggerdbl": "\u2021", "section": "\u00a7", "paragraph": "\u00b6", "degree": "\u00b0", "copyright": "\u00a9", "registered": "\u00ae", "trademark": "\u2122", "Euro": "\u20ac", "sterling": "\u00a3",
+    "yen": "\u00a5", "cent": "\u00a2", "exclamdown": "\u00a1", "questiondown": "\u00bf", "fi": "\ufb01", "fl": "\ufb02", "ff": "\ufb00", "ffi": "\ufb03", "ffl": "\ufb04", "germandbls": "\u00df", "ae": "\u00e6",
+    "AE": "\u00c6", "oe": "\u0153", "OE": "\u0152", "oslash": "\u00f8", "Oslash": "\u00d8", "lslash": "\u0142", "Lslash": "\u0141", "eth": "\u00f0", "Eth": "\u00d0", "thorn": "\u00fe", "Thorn": "\u00de",
+    "dotlessi": "\u0131", "mu": "\u00b5", "multiply": "\u00d7", "divide": "\u00f7", "plusminus": "\u00b1", "nbspace": " ", "softhyphen": "",
+}
+#: Names of marks at the end of a letter's name, and the combining characters.
+MARKS = {"grave": "\u0300", "acute": "\u0301", "circumflex": "\u0302", "tilde": "\u0303", "macron": "\u0304", "breve": "\u0306", "dotaccent": "\u0307", "dieresis": "\u0308", "ring": "\u030a", "hungarumlaut": "\u030b", "caron": "\u030c", "cedilla": "\u0327", "ogonek": "\u0328"}
+#: Encodings that have a name, and Python's names of them.
+ENCODINGS = {"WinAnsiEncoding": "cp1252", "MacRomanEncoding": "mac_roman"}
+
+
+def glyph_text(name: str) -> str:
+    """Characters of a glyph by its name; none for a name that says nothing."""
+    name = name.split(".")[0]
+    if len(name) == 1 or name in GLYPHS:
+        return GLYPHS.get(name, name)
+    number = re.fullmatch(r"uni((?:[0-9A-F]{4})+)|u([0-9A-F]{4,6})", name)
+    if number:
+        points = re.findall("....", number[1]) if number[1] else [number[2]]
+        return "".join(chr(p) for p in (int(x, 16) for x in points) if p < 0xD800 or 0xDFFF < p < 0x110000)
+    mark = MARKS.get(name[1:])
+    return unicodedata.normalize("NFC", name[0] + mark) if mark else ""
+
+
+def encoded(pdf: Pdf, encoding) -> dict[int, str]:
+    """Characters of the codes of a simple font's encoding: a named one, and the differences from it."""
+    base = encoding if isinstance(encoding, str) else pdf.get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else None
+    codec = ENCODINGS.get(str(base))
+    out = {c: bytes([c]).decode(codec, "ignore") for c in range(256)} if codec else {}
+    at = 0
+    for item in (pdf.get(encoding.get("Differences")) or []) if isinstance(encoding, dict) else []:
+        item = pdf.get(item)
+        if isinstance(item, str):
+            if text := glyph_text(str(item)):
+                out[at] = text
+            at += 1
+        elif isinstance(item, (int, float)):
+            at = int(item)
+    return out
+
+
 def _times(a, b):
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 
 
+#: Forms within forms that are followed.
+FORM_DEPTH = 12
+
+
 def page_fragments(pdf: Pdf, page: dict, seconds: float = PAGE_SECONDS) -> list[tuple]:
-    """text, x, y, size, width, font, b, c of the strings that a page shows; y grows upwards. ``TimeoutError`` after ``seconds``."""
-    deadline = time.monotonic() + seconds
+    """text, x, y, size, width, font, b, c of the strings that a page and the forms on it show; y grows upwards. ``TimeoutError`` after ``seconds``."""
     contents = pdf.get(page.get("Contents"))
     parts = [pdf.get(c) for c in contents] if isinstance(contents, list) else [contents]
     data = b"\n".join(pdf.decode(p) for p in parts if isinstance(p, Stream))
-    fonts = pdf.get((pdf.get(page.get("Resources")) or {}).get("Font")) or {}
+    out: list[tuple] = []
+    _interpret(pdf, data, pdf.get(page.get("Resources")) or {}, (1, 0, 0, 1, 0, 0), out, time.monotonic() + seconds, ())
+    return out
+
+
+def _interpret(pdf: Pdf, data: bytes, resources: dict, ctm: tuple, out: list[tuple], deadline: float, within: tuple) -> None:
+    """Adds the strings of a content stream. A form brings its own matrix and resources (else it has those around it); none is entered from itself."""
+    fonts, forms = pdf.get(resources.get("Font")) or {}, pdf.get(resources.get("XObject")) or {}
     known: dict[str, _Font] = {}
-    lex, stack, out = Lexer(data), [], []
-    ctm, saved = (1, 0, 0, 1, 0, 0), []
+    lex, stack = Lexer(data), []
+    saved: list[tuple] = []
     tm = line = (1, 0, 0, 1, 0, 0)
     font, size, leading, spacing, stretch = None, 0.0, 0.0, 0.0, 1.0
 
@@ -437,7 +496,7 @@ def page_fragments(pdf: Pdf, page: dict, seconds: float = PAGE_SECONDS) -> list[
         try:
             value = lex.value()
         except EOFError:
-            return out
+            return
         if not isinstance(value, Keyword):
             stack.append(value)
             continue
@@ -481,6 +540,13 @@ def page_fragments(pdf: Pdf, page: dict, seconds: float = PAGE_SECONDS) -> list[
                         show(a)
                     else:
                         tm = _times((1, 0, 0, 1, -a / 1000 * size * stretch, 0), tm)
+            elif op == b"Do" and len(within) < FORM_DEPTH:
+                ref = forms.get(str(args[-1]))
+                form = pdf.get(ref)
+                key = ref if isinstance(ref, Ref) else id(form)
+                if isinstance(form, Stream) and key not in within and pdf.get(form.dict.get("Subtype")) == "Form":
+                    matrix = tuple(float(pdf.get(v)) for v in pdf.get(form.dict.get("Matrix")) or (1, 0, 0, 1, 0, 0))
+                    _interpret(pdf, pdf.decode(form), pdf.get(form.dict.get("Resources")) or resources, _times(matrix, ctm), out, deadline, (*within, key))
             elif op == b"ID":
                 end = re.compile(rb"\sEI\b").search(data, lex.pos)
                 lex.pos = end.end() if end else len(data)
