@@ -1,0 +1,84 @@
+"""The batch plan from a folder of files to written outlines and outcomes."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.operators import locate
+from folioscope.plans.batch import Preferences, process
+from folioscope.sinks import pdf as pdf_sink
+from folioscope.sources import pdf
+from folioscope.streaming import ingest
+from tests.core.test_formats import made_pdf, stream
+from tests.core.test_frames import book as epub_book
+
+
+def paper(titles: list[str], outline: bool = False) -> bytes:
+    """A page for each title, set large above lines of text."""
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(titles)))
+    bodies = {1: b"<</Type /Catalog /Pages 2 0 R%s>>" % (b" /Outlines 3 0 R" if outline else b""), 2: b"<</Type /Pages /Kids [%s] /Count %d /MediaBox [0 0 612 792]>>" % (kids, len(titles)), 3: b"<</Type /Outlines /First 4 0 R /Count 1>>" if outline else b"null"}
+    bodies |= {n: b"null" for n in range(4, 10)} | {5: b"<</Type /Font /Subtype /Type1 /BaseFont /Body>>", 6: b"<</Type /Font /Subtype /Type1 /BaseFont /Bold>>"}
+    if outline:
+        bodies[4] = b"<</Title (Old) /Parent 3 0 R>>"
+    for i, t in enumerate(titles):
+        text = b"BT /F2 20 Tf 72 700 Td (%s) Tj ET" % t.encode() + b"".join(b" BT /F1 10 Tf 72 %d Td (plain words of page %d in line %d, which go on for quite a while, as they do in a text.) Tj ET" % (650 - 14 * k, i, k) for k in range(8))
+        bodies[10 + 2 * i] = b"<</Type /Page /Parent 2 0 R /Contents %d 0 R /Resources <</Font <</F1 5 0 R /F2 6 0 R>>>>>>" % (11 + 2 * i)
+        bodies[11 + 2 * i] = stream(text)
+    return made_pdf(bodies)
+
+
+TITLES = ["Origins of rivers", "Mountain weather", "Coastal erosion", "Desert winds"]
+
+
+@pytest.fixture
+def folder(tmp_path):
+    at = tmp_path / "files"
+    at.mkdir()
+    for name, data in {"a.pdf": paper(TITLES), "old.pdf": paper(TITLES, True), "one.pdf": paper(TITLES[:1]), "broken.pdf": b"%PDF-1.4 nothing", "b.epub": epub_book(), "c.epub": b"PK\x03\x04 broken"}.items():
+        (at / name).write_bytes(data)
+    return at
+
+
+def test_outcomes_and_files(spark, folder):
+    before = {p.name: p.read_bytes() for p in folder.iterdir()}
+    dry = {r.path.rpartition("/")[2]: r for r in process(spark, str(folder), Preferences(write=False)).collect()}
+    assert {p.name: p.read_bytes() for p in folder.iterdir()} == before
+    rows = {r.path.rpartition("/")[2]: r for r in process(spark, str(folder)).collect()}
+    status = {n: (r.status, r.message) for n, r in rows.items()}
+    assert status == {n: (r.status, r.message) for n, r in dry.items()}
+    assert status["a.pdf"] == ("ok", None) and rows["a.pdf"].headings == 4 and status["b.epub"] == ("ok", None)
+    assert status["old.pdf"] == ("skipped", "has outline") and status["one.pdf"] == ("skipped", "fewer than 2 headings")
+    assert status["broken.pdf"][0] == "error" and status["c.epub"] == ("error", "unreadable") and not any(r.used_model for r in rows.values())
+    assert [t for _, t, _ in pdf_sink.existing_outline((folder / "a.pdf").read_bytes())] == TITLES
+    assert (folder / "a.pdf.original").read_bytes() == before["a.pdf"] and (folder / "old.pdf").read_bytes() == before["old.pdf"]
+    assert sorted(p.name for p in folder.iterdir()) == sorted([*before, "a.pdf.original", "b.epub.original"])
+    again = {r.path.rpartition("/")[2]: r.status for r in process(spark, str(folder)).collect()}
+    assert again["a.pdf"] == "skipped" and (folder / "a.pdf.original").read_bytes() == before["a.pdf"]
+
+
+def test_preferences(spark):
+    assert Preferences.of(spark) == Preferences()
+    spark.conf.set("folioscope.overwrite", "true")
+    spark.conf.set("folioscope.pages", "12")
+    try:
+        assert Preferences.of(spark) == Preferences(overwrite=True, pages=12)
+    finally:
+        spark.conf.unset("folioscope.overwrite")
+        spark.conf.unset("folioscope.pages")
+
+
+def test_streams_note_what_they_wrote_and_replace_files(spark, folder, tmp_path):
+    for name in ("broken.pdf", "one.pdf", "b.epub", "c.epub"):
+        (folder / name).unlink()
+    files = ingest.file_stream(spark, str(folder))
+    ingest.write_outlines(files, f"{tmp_path}/out", f"{tmp_path}/c1", notes=f"{tmp_path}/notes").awaitTermination()
+    note = spark.read.parquet(f"{tmp_path}/notes").collect()
+    assert [(r.headings, r.deepest, r.first_pages, r.batch) for r in note] == [(8, 1, 2, 0)] and spark.read.parquet(f"{tmp_path}/out").count() == 8
+    ingest.replace_files(ingest.file_stream(spark, str(folder)), f"{tmp_path}/outcomes", f"{tmp_path}/c2").awaitTermination()
+    assert {(r.path.rpartition("/")[2], r.status) for r in spark.read.parquet(f"{tmp_path}/outcomes").collect()} == {("a.pdf", "ok"), ("old.pdf", "skipped")}
+    assert pdf.Pdf.open((folder / "a.pdf").read_bytes()).has_outline
+
+
+def test_sample_of_unmatched_titles(spark):
+    entries = spark.createDataFrame([(d, i, f"t{i}") for d in (1, 2) for i in range(9)], "doc_id long, entry_idx int, title string")
+    found = entries.filter((F.col("doc_id") == 2) | (F.col("entry_idx") == 1))
+    assert [tuple(r) for r in locate.unmatched_sample(entries, found).collect()] == [(1, 8, ["t0", "t2", "t3", "t4", "t5"])]
