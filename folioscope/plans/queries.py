@@ -462,12 +462,22 @@ def merged_sources(spark, sf_dir):
 
 
 # ---- folds
-@query()
+# sizes of neighbouring lines differ, so no heading goes on over two lines; each of the four sizes is a band of its own
+DETECTED = f"""{SCORED}, {HEADS}, rk as (select doc_id, key from (select distinct doc_id, page_index, {sql_norm('text')} as key from lines) where length(key) >= 4 group by 1, 2 having count(*) >= 3),
+cd as (select *, {sql_norm('text')} as norm from sc where not {REJECT} and score >= 4), ck as (select cd.* from cd left join rk on rk.doc_id = cd.doc_id and rk.key = cd.norm
+  where (rk.key is null or {matches('text', P.KEYWORDS)}) and not exists (select 1 from heads h where h.doc_id = cd.doc_id and h.key = {sql_folios(sql_norm('text'))})),
+cl as (select *, dense_rank() over (partition by doc_id order by size desc)::int as level, lag(norm) over w as n0, lag(page_index) over w as p0 from ck window w as (partition by doc_id order by page_index, line_idx)),
+hd as (select doc_id, (row_number() over (partition by doc_id order by page_index, line_idx))::int as seq, trim(text) as title, level, page_index, floor(y + size + 0.5)::int as y, floor(score * 10 + 0.5) / 10 as score, size, font from cl where n0 is null or n0 <> norm or page_index - p0 > 1)"""
+
+
+@query(f"with {DETECTED} select * from hd")
 def typographic_headings(spark, sf_dir):
     return detect.detect(book_lines(spark, sf_dir))[0]
 
 
-@query()
+@query(f"""with {DETECTED}, hn as (select doc_id, count(*) as headings, avg(score) as mean_score from hd group by 1), cn as (select doc_id, count(*) as candidates from ck group by 1), hh as (select doc_id, count(*) as running_heads from heads group by 1)
+select hp.doc_id, pages, body_size, body_font, coalesce(candidates, 0) as candidates, coalesce(running_heads, 0) as running_heads, null::varchar as toc_pages, coalesce(headings, 0) as headings, floor(coalesce(mean_score, 0) * 10 + 0.5) / 10 as mean_score,
+  false as use_numbering, floor(coalesce(headings, 0) / greatest(pages, 1)::double * 100 + 0.5) / 100 as density from hp join cs on cs.doc_id = hp.doc_id left join hn on hn.doc_id = hp.doc_id left join cn on cn.doc_id = hp.doc_id left join hh on hh.doc_id = hp.doc_id""")
 def detect_statistics(spark, sf_dir):
     return detect.detect(book_lines(spark, sf_dir))[2].withColumn("toc_pages", F.array_join("toc_pages", ","))
 
