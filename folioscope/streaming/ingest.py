@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.lineage import scratch
 from ..operators.layout import group_lines
 from ..plans.batch import Preferences, process_files
 from ..plans.outline import as_tree, refined, run
@@ -38,8 +39,9 @@ def write_outlines(stream: DataFrame, out: str, checkpoint: str, once: bool = Tr
 
     def batch(files: DataFrame, number: int) -> None:
         seen = Observation(f"outlines-{number}")
-        found = outlines_of(files, provider).observe(seen, F.count(F.lit(1)).alias("headings"), F.max("depth").alias("deepest"), F.count_if(F.col("page_index") == 0).alias("first_pages"))
-        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with scratch(files.sparkSession):
+            found = outlines_of(files, provider).observe(seen, F.count(F.lit(1)).alias("headings"), F.max("depth").alias("deepest"), F.count_if(F.col("page_index") == 0).alias("first_pages"))
+            found.write.mode("overwrite").parquet(f"{out}/batch={number}")
         if notes:
             row = seen.get
             files.sparkSession.createDataFrame([(row["headings"], row["deepest"], row["first_pages"])], "headings long, deepest int, first_pages long").coalesce(1).write.mode("overwrite").parquet(f"{notes}/batch={number}")
@@ -52,7 +54,8 @@ def replace_files(stream: DataFrame, outcomes: str, checkpoint: str, preferences
     skips those files."""
 
     def batch(files: DataFrame, number: int) -> None:
-        process_files(files, preferences, provider).write.mode("overwrite").parquet(f"{outcomes}/batch={number}")
+        with scratch(files.sparkSession):
+            process_files(files, preferences, provider).write.mode("overwrite").parquet(f"{outcomes}/batch={number}")
 
     return _started(stream, batch, checkpoint, once)
 

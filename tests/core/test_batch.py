@@ -1,8 +1,11 @@
 """The batch plan from a folder of files to written outlines and outcomes."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions import lineage
 from folioscope.operators import locate
 from folioscope.plans.batch import Preferences, process
 from folioscope.sinks import pdf as pdf_sink
@@ -78,6 +81,15 @@ def test_streams_note_what_they_wrote_and_replace_files(spark, folder, tmp_path)
     assert pdf.Pdf.open((folder / "a.pdf").read_bytes()).has_outline
 
 
+def test_scratch_tables_go(spark):
+    with lineage.scratch(spark):
+        kept = lineage.cut(spark.range(5))
+        path = kept.inputFiles()[0]
+        assert kept.count() == 5 and os.path.exists(path.removeprefix("file:").replace("//", "/"))
+    assert not os.path.exists(path.removeprefix("file:").replace("//", "/"))
+    assert lineage.cut(spark.range(3)).count() == 3
+
+
 def test_sample_of_unmatched_titles(spark):
     entries = spark.createDataFrame([(d, i, f"t{i}") for d in (1, 2) for i in range(9)], "doc_id long, entry_idx int, title string")
     found = entries.filter((F.col("doc_id") == 2) | (F.col("entry_idx") == 1))
