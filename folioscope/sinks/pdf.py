@@ -165,4 +165,20 @@ def existing_outline(data: bytes) -> list[tuple[int, str, int]]:
     return out
 
 
-__all__ = ["Stream", "existing_outline", "outline_objects", "pdf_text", "serialise", "write_outline", "write_outlines"]
+def existing_outlines(files: DataFrame) -> DataFrame:
+    """doc_id, seq (from 1), level, title, page (from 1, or 0) of the outlines that PDF files (doc_id, content) have; a broken file has no rows."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for doc_id, content in zip(f["doc_id"], f["content"], strict=True):
+                try:
+                    out += [(doc_id, i, *item) for i, item in enumerate(existing_outline(bytes(content)), 1)]
+                except Exception:  # a broken file
+                    continue
+            yield pd.DataFrame(out, columns=["doc_id", "seq", "level", "title", "page"])
+
+    return files.select("doc_id", "content").mapInPandas(run, "doc_id long, seq int, level int, title string, page int")
+
+
+__all__ = ["Stream", "existing_outline", "existing_outlines", "outline_objects", "pdf_text", "serialise", "write_outline", "write_outlines"]

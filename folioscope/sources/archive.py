@@ -92,6 +92,20 @@ def toc_count(markup):
     return F.when(F.contains(markup, F.lit("<navPoint")), F.regexp_count(markup, F.lit(r"<navPoint\b"))).otherwise(F.regexp_count(where, F.lit(r"(?i)<a\b[^>]*\bhref"))).cast("long")
 
 
+def contents_links(entries: DataFrame) -> DataFrame:
+    """doc_id, pos, depth (from 1), text, path, anchor (null without one) of the contents list that each book has: of its navigation document, else of its NCX."""
+    lists = books(entries).select("doc_id", F.coalesce("nav", "ncx").alias("path")).join(entry_texts(entries), ["doc_id", "path"])
+    nav = F.regexp_extract("text", r"(?is)<nav\b[^>]*(?:epub:type|role)\s*=\s*[\"'][^\"']*toc[^\"']*[\"'][^>]*>(.*?)</nav\s*>", 1)
+    parts = F.split(F.when(nav != "", nav).otherwise(F.col("text")), r"(?i)<(?:li|navPoint)\b[^>]*>")
+    rows = lists.select("doc_id", F.col("path").alias("home"), F.posexplode(parts).alias("pos", "part"))
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("closed", F.coalesce(F.sum(F.regexp_count("part", F.lit(r"(?i)</(?:li|navPoint)\s*>"))).over(before), F.lit(0))).filter("pos > 0")
+    label = F.regexp_extract("part", r"(?is)<(a|text)\b[^>]*>(.*?)</\1\s*>", 2)
+    href = attribute(F.regexp_extract("part", r"(?is)<(?:a|content)\b[^>]*>", 0), "(?:href|src)")
+    rows = rows.select("doc_id", (F.col("pos") - 1).alias("pos"), (F.col("pos") - F.col("closed")).cast("int").alias("depth"), decode_entities(strip_tags(label)).alias("text"), "home", href.alias("href"))
+    return rows.select("doc_id", "pos", "depth", "text", resolve_path("home", "href").alias("path"), F.nullif(F.regexp_extract("href", "#(.*)$", 1), F.lit("")).alias("anchor"))
+
+
 def headings(pages: DataFrame, rebase: bool = True) -> DataFrame:
     """Headings h1 to h6 of markup rows (doc_id, pos, path, text): decoded, not empty, 300 characters at most; the least level becomes 1."""
     found = F.regexp_extract_all("text", F.lit(r"(?is)<(h[1-6])\b[^>]*>.*?</\1\s*>"), 0)
@@ -126,4 +140,4 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("spine_pos", "h_pos")))
 
 
-__all__ = ["books", "entry_texts", "epub_headings", "headings", "in_order", "inflate_entry", "pages_headings", "resolve", "spine", "targets", "toc_count", "unanchored", "zip_entries"]
+__all__ = ["books", "contents_links", "entry_texts", "epub_headings", "headings", "in_order", "inflate_entry", "pages_headings", "resolve", "spine", "targets", "toc_count", "unanchored", "zip_entries"]
