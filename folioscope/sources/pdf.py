@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from ..schemas import FRAGMENT, PAGE
 
-WHITE, DELIMITERS = b"\0\t\n\f\r ", b"()<>[]{}/%"
+
 #: Seconds for one page, and pages in a row that may fail before a file is given up.
 PAGE_SECONDS, STALLS = 20.0, 3
 MAX_PAGES, MAX_DEPTH = 20_000, 64
@@ -45,6 +45,11 @@ _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)$")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
+#: White space and comments; the rest of a reference behind its number.
+_BLANKS = re.compile(rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*")
+_REFERENCE = re.compile(rb"[\0\t\n\f\r ]+(\d+)[\0\t\n\f\r ]+R(?![^\0\t\n\f\r ()<>\[\]{}/%])")
+
+
 class Lexer:
     """Values one after another from ``pos``."""
 
@@ -52,16 +57,7 @@ class Lexer:
         self.data, self.pos = data, pos
 
     def _skip(self):
-        data, n = self.data, len(self.data)
-        while self.pos < n:
-            c = data[self.pos : self.pos + 1]
-            if c in (b"%",):
-                ends = [e for e in (data.find(b"\n", self.pos), data.find(b"\r", self.pos)) if e >= 0]
-                self.pos = min(ends, default=n)
-            elif c and c in WHITE:
-                self.pos += 1
-            else:
-                return
+        self.pos = _BLANKS.match(self.data, self.pos).end()
 
     def value(self, depth: int = 0):
         """The next value; EOFError at the end. Two numbers and R make a reference."""
@@ -113,7 +109,7 @@ class Lexer:
         if not _NUMBER.match(m[0]):
             return {b"true": True, b"false": False, b"null": None}.get(m[0], Keyword(m[0]))
         if m[0].isdigit():
-            ref = re.compile(rb"[\0\t\n\f\r ]+(\d+)[\0\t\n\f\r ]+R(?![^\0\t\n\f\r ()<>\[\]{}/%])").match(data, self.pos)
+            ref = _REFERENCE.match(data, self.pos)
             if ref:
                 self.pos = ref.end()
                 return Ref(int(m[0]), int(ref[1]))
@@ -399,13 +395,21 @@ class _Font:
         self.map = _unicode_map(pdf.decode(unicode_)) if isinstance(unicode_, Stream) else {} if self.wide else encoded(pdf, pdf.get(font.get("Encoding")))
         self.first, widths = pdf.get(font.get("FirstChar")) or 0, pdf.get(font.get("Widths")) or []
         self.widths = [pdf.get(w) for w in widths]
+        self.known: dict[int, tuple[str, float]] = {}
+
+    def glyph(self, code: int) -> tuple[str, float]:
+        found = self.known.get(code)
+        if found is None:
+            text = self.map.get(code, "" if self.wide else bytes([code]).decode("cp1252", "ignore"))
+            width = self.widths[code - self.first] if 0 <= code - self.first < len(self.widths) else 1000 if self.wide else 500
+            found = self.known[code] = text, width
+        return found
 
     def text(self, raw: bytes) -> tuple[str, float]:
         """Characters and width in thousandths."""
         codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw) - 1, 2)] if self.wide else list(raw)
-        one = lambda c: self.map.get(c, "" if self.wide else bytes([c]).decode("cp1252", "ignore"))
-        width = lambda c: self.widths[c - self.first] if 0 <= c - self.first < len(self.widths) else 1000 if self.wide else 500
-        return "".join(map(one, codes)), float(sum(width(c) for c in codes))
+        glyphs = [self.glyph(c) for c in codes]
+        return "".join([t for t, _ in glyphs]), float(sum([w for _, w in glyphs]))
 
 
 #: Names of glyphs that are neither a letter with a mark, nor a number in their name, nor a letter themselves.
