@@ -7,7 +7,7 @@ first such word leaves enough words after it on both sides (positional filter).
 Words in no template cannot count, so the order and the block sets hold template words alone.
 
 Defined results: null and empty texts have no words, no labels and score 0; null ids and repeated rows are kept; phrases
-that overlap nothing are counted at each place; an empty table gives an empty one; other columns are ignored.
+that overlap nothing are counted at each place; templates are found at any length, since blocks grow with the longest; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .common import ascii_lower, written
 
 #: Phrases of the base scan and their labels.
 PHRASES = (("mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Notices as they stand in texts; none is longer than half a block.
+#: Notices as they stand in texts.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
@@ -39,6 +39,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 THRESHOLD = 0.9
+#: Least words of a block; a block is at least twice as long as the longest template, so each notice lies whole in one.
 BLOCK_WORDS = 32
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -71,9 +72,16 @@ def base_places(rows: DataFrame, phrases=PHRASES) -> DataFrame:
     return rows.withColumns({"n_base": n, "first_word": first, "last_word": last, "_base": F.array_sort(F.array_distinct(labels))}).drop("_line", *[f"_p{i}" for i in range(len(phrases))])
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, phrases=PHRASES) -> tuple[DataFrame, DataFrame]:
+def block_length(templates) -> int:
+    return max([BLOCK_WORDS, *(2 * len(name.split()) for _, name in templates)])
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, block_words: int | None = None, phrases=PHRASES) -> tuple[DataFrame, DataFrame]:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; and the matching blocks:
-    doc_id, block_start, label, template, containment."""
+    doc_id, block_start, label, template, containment. Blocks of ``block_words`` must be twice as long as the longest template; unset, they are as ``block_length`` says."""
+    block_words = block_length(templates) if block_words is None else block_words
+    if block_words < 2 or block_words // 2 < max((len(name.split()) for _, name in templates), default=0):
+        raise ValueError(f"blocks of {block_words} words are too short for the templates")
     sets = [(label, name, sorted(set(name.split()))) for label, name in templates]
     need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for _, _, s in sets]
     vocabulary = sorted({w for _, _, s in sets for w in s})

@@ -3,7 +3,8 @@
 Rules decide the URLs they fit. Accepted and rejected URLs train a Markov model each: the estimate of a symbol after a
 context of ``ORDER`` symbols is drawn towards that of the next shorter context, so it has the longest context that was seen.
 A URL's score is the mean difference of the two log-likelihoods over its symbols, in thousandths of a nat; the threshold is
-the one that best parts the rules' own decisions (greatest difference of the two rates of URLs at or above it).
+midway between the score that best parts the rules' own decisions (greatest difference of the two rates of URLs at or above it)
+and the next lower one, on URLs that trained no model: those whose MD5 begins with one of ``HELD``. Where these or the others aren't of both verdicts, all decided URLs do both.
 
 The model has 32 ** (ORDER + 1) cells whatever the input, which bounds what is sent to the driver and to the tasks.
 
@@ -23,6 +24,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 ORDER = 2
 STRENGTH = 8
 SYMBOLS = 32
+#: First hexadecimal digits of the MD5 of decided URLs that set the threshold.
+HELD = "012"
 #: 26 letters, then a digit, slash, full stop, hyphen, other marks of a URL, anything else.
 _FROM = "abcdefghijklmnopqrstuvwxyz0123456789/.-?&=#_%:+@~"
 _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "[" * 10 + "\\]^" + "_" * 10
@@ -86,20 +89,27 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER, strength: int = STR
     rows = rows.withColumns({"rule": rule, "_ruled": verdict})
     codes, runs = grams(F.col("url"), order)
     rows = rows.withColumn("_codes", codes).withColumn("_grams", runs)
-    labelled = rows.filter(F.col("_ruled").isNotNull()).select(F.col("_ruled").alias("verdict"), "_grams")
-    kinds = {r[0]: r[1] for r in labelled.groupBy("verdict").count().collect()}
+    ruled = rows.filter(F.col("_ruled").isNotNull()).withColumn("_held", F.substring(F.md5("url"), 1, 1).isin(list(HELD)))
+    kinds = {(r[0], r[1]): r[2] for r in ruled.groupBy("_ruled", "_held").count().collect()}  # four rows at most
     if kinds:
+        fitted = judged = ruled
+        if len(kinds) == 4:
+            fitted, judged = ruled.filter("not _held"), ruled.filter("_held")
+        else:
+            kinds = {(k, True): sum(n for (v, _), n in kinds.items() if v == k) for k in ("allow", "block")}
         weights = [0] * SYMBOLS ** (order + 1)
-        for r in train(labelled, order, strength).filter("weight <> 0").collect():  # at most 32 ** (order + 1) rows
+        for r in train(fitted.select(F.col("_ruled").alias("verdict"), "_grams"), order, strength).filter("weight <> 0").collect():  # at most 32 ** (order + 1) rows
             weights[r.cell] = r.weight
         table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<long>")
         total = F.aggregate("_grams", F.lit(0).cast("long"), lambda s, g: s + F.element_at(table, g + 1))
         n = F.greatest(F.size("_grams"), F.lit(1))
         score = F.floor(total / (n * F.lit(1000.0))).cast("long")
-        bins = rows.filter(F.col("_ruled").isNotNull()).withColumn("score", score).groupBy("score").agg(F.count_if(F.col("_ruled") == "allow").alias("a"), F.count_if(F.col("_ruled") == "block").alias("r"))
+        bins = judged.withColumn("score", score).groupBy("score").agg(F.count_if(F.col("_ruled") == "allow").alias("a"), F.count_if(F.col("_ruled") == "block").alias("r"))
         above = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # one row per score
-        gain = F.sum("a").over(above).cast("double") * kinds.get("block", 0) - F.sum("r").over(above).cast("double") * kinds.get("allow", 0)
-        threshold = F.lit(bins.withColumn("gain", gain).orderBy(F.desc("gain"), "score").first().score)
+        gain = F.sum("a").over(above).cast("double") * kinds["block", True] - F.sum("r").over(above).cast("double") * kinds["allow", True]
+        below = F.coalesce(F.lead("score").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))), F.col("score"))
+        midway = F.floor((F.col("score") + below) / F.lit(2.0)).cast("long")
+        threshold = F.lit(bins.select("score", gain.alias("gain"), midway.alias("midway")).orderBy(F.desc("gain"), "score").first().midway)
     else:
         score, threshold = F.lit(0).cast("long"), F.lit(None).cast("long")
     rows = rows.withColumn("score", score)
@@ -127,17 +137,20 @@ def _estimate_sql(c: str) -> str:
 
 
 ORACLE_SQL = f"""
-with a as (select row_number() over () as n_, page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host,
+with a as (select row_number() over () as n_, page_id, md5(url)[1] in ({", ".join(f"'{d}'" for d in HELD)}) as held, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path,
   '{"`" * ORDER}' || translate(regexp_replace(translate(regexp_replace(coalesce(url, ''), '(?s)^.*?://', ''), '{_UPPER}', '{_LOWER}'), '{_OTHER}', '`', 'g'), '{_FROM}', '{_TO}') as t from pages),
 b as (select *, {_rule_sql(1)} as rule, {_rule_sql(0)} as ruled,
   list_transform(range(1, length(t) - {ORDER} + 1), lambda i: {" + ".join(f"(ascii(t[i + {k}]) - 65) * {SYMBOLS ** (ORDER - k)}" for k in range(ORDER + 1))}) as grams from a),
-g as (select ruled, unnest(grams) as cell from b where ruled is not null),
+e as (select count(distinct ruled) filter (where held) = 2 and count(distinct ruled) filter (where not held) = 2 as parted from b where ruled is not null),
+g as (select ruled, unnest(grams) as cell from b, e where ruled is not null and not (parted and held)),
 k as (select r.cell, count(*) filter (where ruled = 'allow')::double as a, count(*) filter (where ruled = 'block')::double as r from range({SYMBOLS ** (ORDER + 1)}) r(cell) left join g using (cell) group by 1),
 w as (select cell, floor(ln({_estimate_sql("a")} / {_estimate_sql("r")}) * 1e6 + 0.5)::bigint as weight from k),
 s as (select n_, sum(weight) as total from (select n_, unnest(grams) as cell from b) join w using (cell) group by 1),
 c as (select b.*, floor(coalesce(total, 0)::double / (greatest(len(grams), 1) * 1000.0::double))::bigint as score from b left join s using (n_)),
-h as (select score, count(*) filter (where ruled = 'allow') as a, count(*) filter (where ruled = 'block') as r from c where ruled is not null group by 1),
-t as (select score, sum(a) over (order by score desc)::double * (select count(*) from c where ruled = 'block') - sum(r) over (order by score desc)::double * (select count(*) from c where ruled = 'allow') as gain from h),
-v as (select score as threshold from t order by gain desc, score limit 1)
+j as (select c.* from c, e where ruled is not null and (held or not parted)),
+h as (select score, count(*) filter (where ruled = 'allow') as a, count(*) filter (where ruled = 'block') as r from j group by 1),
+t as (select score, sum(a) over (order by score desc)::double * (select count(*) from j where ruled = 'block') - sum(r) over (order by score desc)::double * (select count(*) from j where ruled = 'allow') as gain,
+  floor((score + coalesce(lead(score) over (order by score desc), score)) / 2.0::double)::bigint as midway from h),
+v as (select midway as threshold from t order by gain desc, score limit 1)
 select page_id, host, path, rule, coalesce(ruled, case when score >= (select threshold from v) then 'allow' else 'block' end) as verdict, score from c"""

@@ -46,6 +46,16 @@ def test_licenses_mix_and_components(spark, docs, rows):
     assert mixed.selectExpr("sum(coalesce(regexp_count(text, '[^ ]+'), 0))").first()[0] >= sum(r.taken for r in taken) * 0.9
 
 
+def test_templates_of_any_length(docs):
+    name = " ".join(f"term{i}" for i in range(50))
+    text = lambda before: "filler " * before + name + " filler" * 90
+    rows = [(i, text(i)) for i in range(0, 120, 7)]
+    found = license_scan.scan(docs(rows), templates=[("long", name), ("short", "one two")])[0].collect()
+    assert len(found) == len(rows) and {(r.labels, r.score) for r in found} == {("long", 1.0)}
+    with pytest.raises(ValueError):
+        license_scan.scan(docs(rows), templates=[("long", name)], block_words=98)
+
+
 def seats(values, n):
     """One seat after another to the highest quotient, the first of equals."""
     won = [0] * len(values)
@@ -85,3 +95,14 @@ def test_urls(spark):
     for given in (rows, rows[-9:-6], []):
         frame = spark.createDataFrame(given, "page_id long, url string").selectExpr("*", "'x' as host", "1 as score")
         same(url_filter.judge(frame), url_filter.ORACLE_SQL, "pages", given, ["page_id", "url"])
+
+
+def test_threshold_is_set_on_urls_that_trained_no_model(spark):
+    words = ["news", "sport", "kultur", "wetter", "a", "archives", "x9", "2024"]
+    tail = lambda i: "/".join(words[i * k % 8] for k in range(1, 2 + i % 4))
+    rows = [(i, f"https://good{i % 7}.example.org/fr/{tail(i)}" if i % 2 else f"https://casino{i % 5}.example.net/pills/{i}") for i in range(400)]
+    rows += [(1000 + i, f"https://good{i % 7}.example.org/fr?{tail(i)}" if i % 2 else f"https://casino{i % 5}.example.nets/pills/{i}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    same(url_filter.judge(frame), url_filter.ORACLE_SQL, "pages", rows, ["page_id", "url"])
+    got = [(r.page_id % 2 == 1, r.verdict == "allow") for r in url_filter.judge(frame).filter("rule is null").collect()]
+    assert len(got) == 40 and sum(a == b for a, b in got) >= 36
