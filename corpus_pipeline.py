@@ -44,7 +44,7 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     a component by itself; of several with the same id one stays, and all without id."""
     docs, names = by_number(docs)
     with scratch() as made:
-        linked = written(jaccard_join.link(docs, SHINGLE, PERCENT, rare=True)[0].select("doc_id", "n_shingles", "set", "label"), "pipeline-linked")
+        linked = written(jaccard_join.link(docs, SHINGLE, PERCENT, counted=True)[0].select("doc_id", "n_shingles", "set", "label"), "pipeline-linked")
         made.pop()
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set")).alias("f")
     firsts = linked.filter("n_shingles > 0").groupBy("label").agg(least).select("f.doc_id", "f.set")

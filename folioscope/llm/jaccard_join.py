@@ -13,9 +13,8 @@ bitmaps differ in more bits than similar sets have different shingles (a bound t
 So no similar pair goes unseen unless it is already connected, and a large group of near copies costs a star and not all its
 pairs. Sets are compared exactly, as sets of 64-bit shingle hashes; classes are 64-bit fingerprints of sets.
 
-With ``rare`` the signatures of a set of n shingles are its n - ceil(t n) + 1 rarest shingles instead, in one order of all shingles
-(how often they occur, then hash): two sets of similarity t share one of those. A shingle that occurs once is met by nobody
-and only counts. At low thresholds this takes far fewer signatures than segments, which must then be small.
+With ``counted`` the signatures are counted in buckets before they travel with their sets: one that occurs once is met by nobody and goes
+no further. At low thresholds, where a set has many signatures, this takes four bytes a signature and little more.
 
 Defined results: a text of fewer words than a shingle is one shingle; no words or null text: an empty set, its own component;
 a row with a null id links its neighbours and gets their smallest id; repeated rows are one class; long texts are read
@@ -28,6 +27,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ PERCENT = 90
 BAND_RATIO = 1.25
 CACHE_WORDS = 400_000
 BITMAP = 1024
-#: Bytes of text for each bucket of shingles that are counted together, and characters whose shingles go there as one row.
+#: Bytes of text for each bucket of signatures that are counted together, and characters whose signatures go there as one row.
 BUCKET_TEXT, CUT_TEXT = 8 << 20, 2 << 20
 _U = np.uint64
 
@@ -164,15 +164,15 @@ def may_be_similar(n1, n2, bits1, bits2, percent: int = PERCENT):
     return differ * (100 + percent) <= (n1 + n2) * (100 - percent)
 
 
-def digests(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rare: bool = False) -> DataFrame:
-    """doc_id, n (set size), v (class), bits, signatures (none with ``rare``)."""
+def digests(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, counted: bool = False) -> DataFrame:
+    """doc_id, n (set size), v (class), bits, signatures (none with ``counted``)."""
 
     def run(stream):
         with np.errstate(over="ignore"):
             for batch in stream:
                 for texts, rest in batches(batch, 2 << 20):
                     sets = [shingles(t, size) for t in texts]
-                    flat, count = (np.zeros(0, _U), np.zeros(len(sets), np.int64)) if rare else signatures(sets, percent)
+                    flat, count = (np.zeros(0, _U), np.zeros(len(sets), np.int64)) if counted else signatures(sets, percent)
                     offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
                     yield pa.record_batch({
                         "doc_id": rest.column("doc_id").cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "v": pa.array([fingerprint(s) for s in sets], pa.int64()),
@@ -183,18 +183,6 @@ def digests(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rare:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, v long, bits array<long>, signatures array<long>")
 
 
-def _three(x: np.ndarray) -> bytes:
-    """The low three bytes of each number."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
-
-
-def _from_three(blob) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 3)
-    out = np.zeros((len(raw), 4), np.uint8)
-    out[:, :3] = raw
-    return out.view("<u4").ravel()
-
-
 def _numbers(x: np.ndarray) -> bytes:
     """Numbers in as few bytes as the largest takes; the first byte says how many."""
     width = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4
@@ -206,14 +194,14 @@ def _from_numbers(blob) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def rarest(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """v (class), n (set size), s: the rarest shingles of each set, but for those that occur once.
+def met(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """v (class), n (set size), s: the signatures of each set, but for those that occur once.
 
-    A shingle's name is its bucket and 24 bits of its hash; buckets grow with the text, so few names stand for two shingles. Those
-    count as one shingle, which can only bring more sets together; every pair is compared exactly later.
+    A signature's name is its bucket and 32 bits of it; buckets grow with the text, so few names stand for two signatures. Those
+    count as one signature, which can only bring more sets together; every pair is compared exactly later.
     """
     buckets = parts(text_bytes(docs), BUCKET_TEXT)
-    schema = "bucket int, batch long, sets binary, counts binary, entries binary, times binary"
+    schema = "bucket int, batch long, sets binary, counts binary, entries binary"
     of_set = np.dtype([("v", "<i8"), ("n", "<i8")])
 
     def cut(stream):
@@ -227,11 +215,11 @@ def rarest(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     sets = list({fingerprint(x): x for t in texts if len(x := shingles(t, size))}.items())
                     if not sets:
                         continue
-                    flat = np.concatenate([x for _, x in sets])
-                    own = np.repeat(np.arange(len(sets)), [len(x) for _, x in sets])
+                    flat, count = signatures([x for _, x in sets], percent)
+                    own = np.repeat(np.arange(len(sets)), count)
                     bucket = ((flat >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")  # within a bucket by set
-                    own, flat = own[order], flat[order]
+                    own, flat = own[order], flat[order].astype("<u4")
                     ends = np.cumsum(np.bincount(bucket, minlength=buckets))
                     used = np.flatnonzero(np.diff(ends, prepend=0))
                     spans_ = list(zip(np.concatenate([[0], ends])[used].tolist(), ends[used].tolist(), strict=True))
@@ -239,49 +227,40 @@ def rarest(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     yield pa.record_batch({
                         "bucket": pa.array([batch_id % buckets, *used.tolist()], pa.int32()), "batch": pa.array([batch_id] * (1 + len(used)), pa.int64()), "sets": pa.array([about, *[None] * len(used)], pa.binary()),
                         "counts": pa.array([None, *[_numbers(np.bincount(own[a:b], minlength=len(sets))) for a, b in spans_]], pa.binary()),
-                        "entries": pa.array([None, *[_three(flat[a:b] & _U(0xFFFFFF)) for a, b in spans_]], pa.binary()), "times": pa.array([None] * (1 + len(used)), pa.binary()),
+                        "entries": pa.array([None, *[flat[a:b].tobytes() for a, b in spans_]], pa.binary()),
                     })
                     batch_id += 1
 
     def count(table):
-        """The names of a bucket that occur more than once, with how often they do."""
+        """The names of a bucket that occur more than once."""
         about = table.filter(table.column("entries").is_null())
         rest = table.filter(table.column("entries").is_valid())
         if not rest.num_rows:
             return about
-        names = [_from_three(x.as_buffer()) for x in rest.column("entries")]
-        found = np.bincount(np.concatenate(names), minlength=1 << 24)
-        out = [[], [], []]
+        names = [np.frombuffer(x.as_buffer(), "<u4") for x in rest.column("entries")]
+        flat = np.sort(np.concatenate(names))
+        often = np.unique(flat[1:][flat[1:] == flat[:-1]])
+        out = [[], []]
         for own, counts in zip(names, rest.column("counts"), strict=True):
             counts = _from_numbers(counts.as_buffer())
-            times = found[own]
-            some = times > 1
-            of = np.repeat(np.arange(len(counts)), counts)[some]
-            for column, blob in zip(out, (_numbers(np.bincount(of, minlength=len(counts))), _three(own[some]), _numbers(np.minimum(times[some], 0xFFFF))), strict=True):
-                column.append(blob)
-        for name, blobs in zip(("counts", "entries", "times"), out, strict=True):
+            some = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own if len(often) else np.zeros(len(own), bool)
+            out[0].append(_numbers(np.bincount(np.repeat(np.arange(len(counts)), counts)[some], minlength=len(counts))))
+            out[1].append(own[some].tobytes())
+        for name, blobs in zip(("counts", "entries"), out, strict=True):
             rest = rest.set_column(rest.schema.get_field_index(name), name, pa.array(blobs, pa.binary()))
-        return pa.concat_tables([about, rest])
+        return pa.concat_tables([about, rest.filter(pc.greater(pc.binary_length(rest.column("entries")), 0))])
 
-    def choose(table):
-        """The first names of each set of a group of texts."""
+    def name(table):
+        """The sets of a group of texts with what is left of their names."""
         about = np.frombuffer(next(x for x in table.column("sets") if x.is_valid).as_buffer(), of_set)
-        found = [(b, *(x.as_buffer() for x in row)) for b, *row in zip(table.column("bucket").to_pylist(), *(table.column(c) for c in ("counts", "entries", "times")), strict=True) if row[0].is_valid]
-        own, name, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (
-            [np.repeat(np.arange(len(about)), _from_numbers(c)) for _, c, _, _ in found],
-            [b << 24 | _from_three(e).astype(np.int64) for b, _, e, _ in found], [_from_numbers(t) for *_, t in found]))
-        order = np.lexsort((name, times, own))
-        own, name = own[order], name[order]
-        common = np.bincount(own, minlength=len(about))
-        rank = np.arange(len(own)) - (np.cumsum(common) - common)[own]
-        n = about["n"]
-        taken = rank < (n - -(-n * percent // 100) + 1 - (n - common))[own]
-        own, name = own[taken], name[taken]
-        return pa.table({"v": about["v"][own], "n": n[own], "s": name})
+        found = [(b, c.as_buffer(), e.as_buffer()) for b, c, e in zip(*(table.column(k) for k in ("bucket", "counts", "entries")), strict=True) if e.is_valid]
+        own = np.concatenate([np.zeros(0, np.int64), *[np.repeat(np.arange(len(about)), _from_numbers(c)) for _, c, _ in found]])
+        s = np.concatenate([np.zeros(0, np.int64), *[b.as_py() << 32 | np.frombuffer(e, "<u4").astype(np.int64) for b, _, e in found]])
+        return pa.table({"v": about["v"][own], "n": about["n"][own], "s": s})
 
     cuts = docs.select("doc_id", "text").mapInArrow(cut, schema)
     common = written(cuts.groupBy("bucket").applyInArrow(count, schema), "jaccard-common")
-    out = written(common.groupBy("batch").applyInArrow(choose, "v long, n long, s long").distinct(), "jaccard-rarest")
+    out = written(common.groupBy("batch").applyInArrow(name, "v long, n long, s long").distinct(), "jaccard-met")
     discard(common)
     return out
 
@@ -322,21 +301,20 @@ def similar_lengths(p, q, percent: int = PERCENT):
     return F.least(p, q) * 100 >= F.greatest(p, q) * percent
 
 
-def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rare: bool = False) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, counted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Per document: doc_id, n_shingles, class_id, component_id, set (class) and label (the smallest class of the component;
     null for an empty set); and the links between classes that connect them: a, b."""
-    rows = written(digests(docs, size, percent, rare), "jaccard-digests")
+    rows = written(digests(docs, size, percent, counted), "jaccard-digests")
     classes = written(rows.filter("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
-    if rare:
-        least_ = rarest(docs, size, percent)
-        once = least_
+    if counted:
+        once = seen = met(docs, size, percent)
     else:
         once = rows.filter(F.size("signatures") > 0).dropDuplicates(["v"]).select("v", "n", F.explode("signatures").alias("s"))
     once = once.repartition("s")  # one exchange for the smallest class and for its partners
     least = once.groupBy("s").agg(F.min(F.struct("v", "n")).alias("c"), F.max("v").alias("most")).filter("c.v <> most")
     shared = written(once.join(least, "s").select("s", "v", "n", F.col("c.v").alias("center"), F.col("c.n").alias("center_n")).distinct(), "jaccard-shared")
-    if rare:
-        discard(least_)
+    if counted:
+        discard(seen)
     stars = written(shared.filter("v <> center").filter(similar_lengths(F.col("n"), F.col("center_n"), percent)).select(F.col("center").alias("a"), F.col("v").alias("b")).distinct(), "jaccard-stars")
     found = verified(docs, stars, classes, size, percent)
     labels = components(found)

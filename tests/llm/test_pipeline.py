@@ -145,3 +145,22 @@ def test_columns_named_like_those_of_the_stages(spark, tmp_path):
         found = docs.collect()
         assert found and all(r[n] == f"{n}-{r.doc_id}" for r in found for n in names)
     assert P.packed(spark, docs, str(tmp_path)).count() > 0
+
+
+def test_near_duplicates_meet_by_partition_of_the_universe(spark, docs):
+    """What brings sets together are the signatures of op6's segments, and pairs that share rare shingles alone are not compared."""
+    from folioscope.llm import jaccard_join as J
+
+    texts = copies(4, 60)
+    seen = J.met(docs(list(enumerate(texts))).repartition(3), P.SHINGLE, P.PERCENT).collect()
+    sets = {J.fingerprint(x): x for x in (J.shingles(t, P.SHINGLE) for t in texts)}
+    flat, count = J.signatures(list(sets.values()), P.PERCENT)
+    owner, of = [v for v, n in zip(sets, count, strict=True) for _ in range(n)], {}
+    for v, s in zip(owner, flat.tolist(), strict=True):
+        of.setdefault(s, set()).add(v)
+    together = {frozenset((a, b)) for own in of.values() for a in own for b in own if a != b}
+    by = {}
+    for r in seen:
+        by.setdefault(r.s, set()).add(r.v)
+        assert r.n == len(sets[r.v])
+    assert together and {frozenset((a, b)) for own in by.values() for a in own for b in own if a != b} == together
