@@ -108,12 +108,16 @@ def select_outline(candidates: DataFrame, replies: DataFrame) -> DataFrame:
 def edit_outline(candidates: DataFrame, replies: DataFrame) -> DataFrame:
     """The kept headings as a reply corrects them: removals and levels of kept ones, additions of others (level 2 if none is valid)."""
     reply = replies.select("doc_id", F.from_json(json_object("reply"), EDIT_REPLY).alias("r"))
-    removed = reply.select("doc_id", F.explode("r.retirer").alias("i")).distinct().withColumn("_removed", F.lit(True))
-    last = lambda name: top_per_group(reply.select("doc_id", F.posexplode(f"r.{name}").alias("p", "x")).select("doc_id", "p", "x.i", "x.l"), ["doc_id", "i"], [F.desc("p")], 1).drop("p")
-    levels = top_per_group(reply.select("doc_id", F.posexplode("r.niveaux").alias("p", "x")).select("doc_id", "p", "x.i", "x.l").filter("l between 1 and 6"), ["doc_id", "i"], [F.desc("p")], 1).select("doc_id", "i", F.col("l").alias("_level"))
-    added = last("ajouter").select("doc_id", "i", _level(F.col("l"), 2).alias("_added"))
-    rows = candidates.join(removed, ["doc_id", "i"], "left").join(levels, ["doc_id", "i"], "left").join(added, ["doc_id", "i"], "left")
-    rows = rows.filter("(kept and _removed is null) or (not kept and _added is not null)")
+    # candidates meet their document's reply once and look into its lists; the last answer to a number counts
+    lists = reply.groupBy("doc_id").agg(*[F.flatten(F.collect_list(f"r.{name}")).alias(f"_{name}") for name in ("retirer", "ajouter", "niveaux")])
+    named = lambda name, fits=None: F.filter(f"_{name}", lambda x: (x["i"] == F.col("i")) & (F.lit(True) if fits is None else fits(x)))
+    last = lambda found: F.try_element_at(found, F.lit(-1))["l"]
+    rows = candidates.join(lists, "doc_id", "left")
+    rows = rows.withColumns({
+        "_removed": F.coalesce(F.array_contains("_retirer", F.col("i")), F.lit(False)), "_level": last(named("niveaux", lambda x: x["l"].between(1, 6))),
+        "_added": F.when(F.size(named("ajouter")) > 0, _level(last(named("ajouter")), 2)),
+    })
+    rows = rows.filter("(kept and not _removed) or (not kept and _added is not null)")
     return rows.select("doc_id", "i", F.col("text").alias("title"), F.when(F.col("kept"), F.coalesce("_level", "kept_level")).otherwise(F.col("_added")).alias("level"), "page_index", "y", "size")
 
 
