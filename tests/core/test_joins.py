@@ -102,7 +102,7 @@ def test_entries_of_one_key_meet_lines_once_and_places_are_the_best(spark):
     entries = [(1, i, r.choice(["Rivers", "Alpha beta gamma", "Beta winds of delta"]), r.choice([None, r.randint(1, 120)]), False) for i in range(40)]
     e = spark.createDataFrame(entries, "doc_id long, entry_idx int, title string, printed int, roman boolean")
     texts = [["rivers", "rivers of winds", "alpha beta gamma", "beta winds of delta", "alpha beta"][r.randint(0, 4)] for _ in range(360)]
-    index = [(1, i // 3, i % 3, 0, k, [], k, "b", 1.0, 1.0, r.choice([9.0, 10.0, 12.0]), 0.5, r.random() < 0.2) for i, k in enumerate(texts)]
+    index = [(1, i // 3, i % 3, 0, k, [], k, "b", 1.0, 1.0, r.choice([8.0, 10.0, 12.0]), 0.5, r.random() < 0.2) for i, k in enumerate(texts)]
     ix = spark.createDataFrame(index, INDEX)
     keyed = locate.entry_keys(e)
     pairs = locate.similar_keys(keyed, ix.select("doc_id", "page_index", "line_idx", "part", "k", "running", "size", "rel", "top"))
@@ -112,7 +112,7 @@ def test_entries_of_one_key_meet_lines_once_and_places_are_the_best(spark):
     best = {}
     for x in locate.similar_pairs(e, ix).collect():
         away = None if x.printed is None else abs(x.page_index - (x.printed - 1 + 2))
-        score = x.sim * 10 - 7 * x.running + (2.5 if x["size"] >= 11.5 else -2.0 if x["size"] < 9.1 else 0.0)
+        score = x.sim * 10 - 7 * x.running + (2.5 if x["size"] >= 11.5 else -2.0 if x["size"] < 8.5 else 0.0)
         score += 0.0 if away is None else 6.0 if away == 0 else 4.0 if away == 1 else 1.5 if away <= 3 else -3.0 if away > 12 else 0.0
         best.setdefault(x.entry_idx, {}).setdefault(x.page_index, []).append(round(score, 6))
     want = {(i, n): (p, -s) for i, pages in best.items() for n, (s, p) in enumerate(sorted((-max(v), p) for p, v in pages.items())[:8])}
