@@ -8,8 +8,8 @@ per band is the one of least cost, signatures plus expected chance meetings. A s
 band below if that may hold a smaller partner.
 
 Equal sets are one class first. Per signature every class is compared with the smallest one; the links so found give
-components, and then all pairs of a signature that lie in different components are compared too, but for those whose parity
-bitmaps differ in more bits than similar sets have different shingles (a bound that no pair escapes, tested inside the join).
+components, and then all pairs of a signature that lie in different components are compared too. In both rounds pairs whose parity
+bitmaps differ in more bits than similar sets have different shingles are left out before their sets travel (a bound that no pair escapes).
 So no similar pair goes unseen unless it is already connected, and a large group of near copies costs a star and not all its
 pairs. Sets are compared exactly, as sets of 64-bit shingle hashes; classes are 64-bit fingerprints of sets.
 
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cache_of, discard, parts, text_bytes, written
+from .common import cache_of, discard, parts, text_bytes, unpack, written
 from .components import components
 from .encoding import batches
 
@@ -164,8 +164,44 @@ def may_be_similar(n1, n2, bits1, bits2, percent: int = PERCENT):
     return differ * (100 + percent) <= (n1 + n2) * (100 - percent)
 
 
+def wide_bitmap(shingle_set: np.ndarray) -> bytes | None:
+    """Parity by place of a set of more than ``BITMAP`` shingles, for which ``bitmaps`` says little: two to four places a shingle."""
+    if len(shingle_set) <= BITMAP:
+        return None
+    places = 1 << (2 * len(shingle_set) - 1).bit_length()
+    odd = np.bincount((shingle_set & _U(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two wide bitmaps differ; the longer one is folded, which joins places and keeps their parity."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of classes that their bitmaps leave: whole sets travel for these alone."""
+
+    def joined(columns):
+        out = pairs
+        for side, k in (("a", "1"), ("b", "2")):
+            out = out.join(classes.select(F.col("v").alias(side), *[F.col(c).alias(c + k) for c in columns]), side)
+        return out
+
+    def leave(stream):
+        for batch in stream:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n1", "n2")), batch.column("wide1"), batch.column("wide2"), strict=True)
+            keep = [not (x.is_valid and y.is_valid) or differing(*(unpack(z.as_buffer(), np.uint8) for z in (x, y))) * (100 + percent) <= (n + m) * (100 - percent) for n, m, x, y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = joined(["n", "bits"]).filter(may_be_similar(*map(F.col, ("n1", "n2", "bits1", "bits2")), percent)).select("a", "b")
+    return joined(["n", "wide"]).select("a", "b", "n1", "n2", "wide1", "wide2").mapInArrow(leave, "a long, b long")
+
+
 def digests(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, counted: bool = False) -> DataFrame:
-    """doc_id, n (set size), v (class), bits, signatures (none with ``counted``)."""
+    """doc_id, n (set size), v (class), bits, wide (bitmap of a large set), signatures (none with ``counted``)."""
 
     def run(stream):
         with np.errstate(over="ignore"):
@@ -177,10 +213,10 @@ def digests(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, counte
                     yield pa.record_batch({
                         "doc_id": rest.column("doc_id").cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "v": pa.array([fingerprint(s) for s in sets], pa.int64()),
                         "bits": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITMAP // 64)), pa.array(bitmaps(sets))),
-                        "signatures": pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))),
+                        "wide": pa.array([wide_bitmap(s) for s in sets], pa.binary()), "signatures": pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))),
                     })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, v long, bits array<long>, signatures array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, v long, bits array<long>, wide binary, signatures array<long>")
 
 
 def _numbers(x: np.ndarray) -> bytes:
@@ -305,7 +341,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, counted:
     """Per document: doc_id, n_shingles, class_id, component_id, set (class) and label (the smallest class of the component;
     null for an empty set); and the links between classes that connect them: a, b."""
     rows = written(digests(docs, size, percent, counted), "jaccard-digests")
-    classes = written(rows.filter("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
+    classes = written(rows.filter("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide")), "jaccard-classes")
     if counted:
         once = seen = met(docs, size, percent)
     else:
@@ -315,7 +351,8 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, counted:
     shared = written(once.join(least, "s").select("s", "v", "n", F.col("c.v").alias("center"), F.col("c.n").alias("center_n")).distinct(), "jaccard-shared")
     if counted:
         discard(seen)
-    stars = written(shared.filter("v <> center").filter(similar_lengths(F.col("n"), F.col("center_n"), percent)).select(F.col("center").alias("a"), F.col("v").alias("b")).distinct(), "jaccard-stars")
+    pairs = shared.filter("v <> center").filter(similar_lengths(F.col("n"), F.col("center_n"), percent)).select(F.col("center").alias("a"), F.col("v").alias("b")).distinct()
+    stars = written(possible(pairs, classes, percent), "jaccard-stars")
     found = verified(docs, stars, classes, size, percent)
     labels = components(found)
     named = shared.select("s", "v", "n").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
@@ -323,12 +360,12 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, counted:
     discard(shared)
     mixed = named.groupBy("s").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("v").alias("center"), F.count(F.lit(1)).alias("k")).filter("l <> m and k > 2").select("s", "center")
     opened = named.join(mixed, "s").filter("v <> center")  # pairs with the smallest class are known
-    opened = written(opened.join(rows.select("v", "bits").dropDuplicates(["v"]), "v"), "jaccard-open")
+    opened = written(opened.join(classes.select("v", "bits"), "v"), "jaccard-open")
     discard(named)
     left, right = (opened.select(*[F.col(c).alias(c + k) for c in ("s", "v", "n", "label", "bits")]) for k in "12")
     near = (F.col("s1") == F.col("s2")) & (F.col("v1") < F.col("v2")) & (F.col("label1") != F.col("label2")) & similar_lengths(F.col("n1"), F.col("n2"), percent)
     rest = left.join(right, near & may_be_similar(*map(F.col, ("n1", "n2", "bits1", "bits2")), percent)).select(F.col("v1").alias("a"), F.col("v2").alias("b")).distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = written(possible(rest.join(stars, ["a", "b"], "left_anti"), classes, percent), "jaccard-rest")
     discard(opened, stars)
     if rest.limit(1).count():
         more = verified(docs, rest, classes, size, percent)

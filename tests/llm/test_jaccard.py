@@ -89,3 +89,29 @@ def test_large_group_of_near_copies_and_empty_table(spark, docs):
     got = J.link(docs(rows))[0].select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(brute(rows))
     assert J.link(docs([]))[0].count() == 0
+
+
+def test_sets_travel_only_for_pairs_that_bitmaps_leave(spark, docs, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(base[:120] + [f"x{k}-{i}" for i in range(80)])) for k in range(6)] + [(9, " ".join(base[:120] + [f"x1-{i}" for i in range(79)]))]
+    checked, verified = [], J.verified
+    monkeypatch.setattr(J, "verified", lambda docs, pairs, *more: checked.append(pairs.count()) or verified(docs, pairs, *more))
+    for counted in (False, True):
+        got = J.link(docs(rows), 5, 80, counted)[0].select("doc_id", "component_id").collect()
+        assert sorted(map(tuple, got)) == [(k, k) for k in range(6)] + [(9, 1)]
+    base = [f"w{i}" for i in range(6000)]
+    rows = [(k, " ".join(base[:3600] + [f"x{k}-{i}" for i in range(2400 + k)])) for k in range(3)]  # large sets: 1,024 places say nothing
+    got = J.link(docs(rows), 5, 80, True)[0].select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (1, 1), (2, 2)]
+    assert max(checked) == 1  # before, a set was sent to each text that shares a stretch with it
+
+
+def test_wide_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    for n in (1025, 1600, 5000, 70_000):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        for share in (1.0, 0.9, 0.7):
+            b = np.unique(np.concatenate([a[: int(share * n)], rng.integers(0, 2**64, n // 4, np.uint64)]))
+            x, y = (np.frombuffer(J.wide_bitmap(s) or bytes(128), np.uint8) for s in (a, b))
+            if len(b) > J.BITMAP:
+                assert J.differing(x, y) == J.differing(y, x) <= len(np.setxor1d(a, b))
