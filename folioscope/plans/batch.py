@@ -45,8 +45,9 @@ class Preferences:
 def gated(files: DataFrame, preferences: Preferences) -> DataFrame:
     """doc_id, path, mime, status, message: ``skipped`` with the first reason, ``error`` for an unreadable file, or null."""
     seen = pdf.inspect(files.filter(F.col("mime") == archive.PDF)).select("doc_id", "readable", "encrypted", "has_outline", "message")
-    entries = archive.zip_entries(files.filter(F.col("mime") == archive.EPUB))
-    lists = archive.books(entries).select("doc_id", F.coalesce("nav", "ncx").alias("path")).join(archive.entry_texts(entries), ["doc_id", "path"], "left")
+    entries = cut(archive.zip_entries(files.filter(F.col("mime") == archive.EPUB)))
+    lists = cut(archive.books(entries).select("doc_id", F.coalesce("nav", "ncx").alias("path")))
+    lists = lists.join(archive.texts_of(entries, lists), ["doc_id", "path"], "left")
     enough = F.coalesce(archive.toc_count(F.col("text")) >= preferences.epub_entries, F.lit(False))
     null = F.lit(None).cast("string")
     seen = seen.unionByName(lists.select("doc_id", F.lit(True).alias("readable"), F.lit(False).alias("encrypted"), enough.alias("has_outline"), null.alias("message")))

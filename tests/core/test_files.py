@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.operators import fold
 from folioscope.plans import files
 from folioscope.sinks import epub, pdf as pdf_sink
 from folioscope.sources import archive, pdf
@@ -72,3 +73,19 @@ def test_pages_as_books(spark):
     assert {r.doc_id: r.status for r in written.collect()} == {-1: "ok", -2: "ok", -3: "ok", -11: "skipped"}
     links = archive.contents_links(archive.zip_entries(written.filter("status = 'ok'")))
     assert [(r.depth, r.text, r.path, r.anchor) for r in links.filter("doc_id = -2").orderBy("pos").limit(3).collect()] == [(1, "Page 4", "OEBPS/c4.xhtml", "top"), (2, "Short one.", "OEBPS/c4.xhtml", "toc-0-1"), (1, "Page 5", "OEBPS/c5.xhtml", "toc-1-0")]
+
+
+def test_file_results_are_handed_on_by_bytes(spark):
+    import pyarrow as pa
+
+    sizes = [b.num_rows for b in fold.by_bytes(((i, b"x" * 3_000_000) for i in range(7)), pa.schema([("i", pa.int64()), ("x", pa.binary())]))]
+    assert sizes == [3, 3, 1]
+    # one batch of small archives with large entries: before, all their bytes were one batch of results
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.html", "<p>" + "a" * 2_000_000)
+    entries = archive.zip_entries(spark.createDataFrame([(i, box.getvalue()) for i in range(40)], "doc_id long, content binary").coalesce(1))
+    seen = archive.each_file(entries.select("doc_id", "method", "raw"), lambda d, m, r: [(d, archive.inflate_entry(m, r))], "doc_id long, data binary")
+    counted = seen.mapInArrow(lambda stream: (pa.record_batch({"n": pa.array([b.num_rows], pa.int64())}) for b in stream), "n long").collect()
+    assert sum(r.n for r in counted) == 40
+    assert {r.n for r in archive.entry_texts(entries).selectExpr("length(text) as n").collect()} == {2_000_003}
