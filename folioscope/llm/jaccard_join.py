@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cache_of, discard, parts, text_bytes, unpack, written
+from .common import cache_of, discard, parts, text_bytes, tidy, unpack, written
 from .components import components
 from .encoding import batches
 
@@ -216,7 +216,7 @@ def digests(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, counte
                         "wide": pa.array([wide_bitmap(s) for s in sets], pa.binary()), "signatures": pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))),
                     })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, v long, bits array<long>, wide binary, signatures array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lambda stream: tidy(run(stream)), "doc_id long, n long, v long, bits array<long>, wide binary, signatures array<long>")
 
 
 def _numbers(x: np.ndarray) -> bytes:
@@ -294,7 +294,7 @@ def met(docs: DataFrame, size: int, percent: int) -> DataFrame:
         s = np.concatenate([np.zeros(0, np.int64), *[b.as_py() << 32 | np.frombuffer(e, "<u4").astype(np.int64) for b, _, e in found]])
         return pa.table({"v": about["v"][own], "n": about["n"][own], "s": s})
 
-    cuts = docs.select("doc_id", "text").mapInArrow(cut, schema)
+    cuts = docs.select("doc_id", "text").mapInArrow(lambda stream: tidy(cut(stream)), schema)
     common = written(cuts.groupBy("bucket").applyInArrow(count, schema), "jaccard-common")
     out = written(common.groupBy("batch").applyInArrow(name, "v long, n long, s long").distinct(), "jaccard-met")
     discard(common)
@@ -315,7 +315,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int =
 
     rows = docs.select("doc_id", "text").join(ids.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     # a class's document may share its id with documents of other classes
-    sets = rows.mapInArrow(read, "v long, shingles binary").dropDuplicates(["v"]).join(ids.select("v"), "v", "left_semi")
+    sets = rows.mapInArrow(lambda stream: tidy(read(stream)), "v long, shingles binary").dropDuplicates(["v"]).join(ids.select("v"), "v", "left_semi")
     sets = written(sets, "jaccard-sets")
 
     def compare(stream):

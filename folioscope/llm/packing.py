@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import cache_of, written
 from .encoding import batches, shared_encoder
 from .wavelet import tokenizer_file
 
@@ -51,28 +51,31 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = written(totals.select("part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("first")), "pack-offsets")
 
-    def cut(stream):
-        for batch in stream:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "n", "width")), batch.column("ids"), strict=True)
-            out: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
-            held = 0
-            for doc_id, at, n, width, blob in rows:
-                ids = np.frombuffer(blob.as_buffer(), f"<u{width}").astype("<u4")
-                start = 0
-                while start < n:
-                    sequence, offset = divmod(at + start, window)
-                    length = min(n - start, window - offset)
-                    for key, value in zip(out, (doc_id, start, length, n, sequence, offset, ids[start : start + length].tobytes()), strict=True):
-                        out[key].append(value)
-                    start += length
-                held += n
-                if held > 1 << 21:
-                    yield _record(out)
-                    held, out = 0, {c: [] for c in out}
-            yield _record(out)
-
     placed = encoded.join(offsets, "part").select("doc_id", (F.col("first") + F.col("place")).alias("at"), "n", "width", "ids")
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(lambda stream: cut(stream, window), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+
+
+def cut(stream, window: int = WINDOW):
+    """Pieces of the documents of a stream; the encoder that the worker still holds goes first."""
+    cache_of("packing")
+    for batch in stream:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "n", "width")), batch.column("ids"), strict=True)
+        out: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
+        held = 0
+        for doc_id, at, n, width, blob in rows:
+            ids = np.frombuffer(blob.as_buffer(), f"<u{width}").astype("<u4")
+            start = 0
+            while start < n:
+                sequence, offset = divmod(at + start, window)
+                length = min(n - start, window - offset)
+                for key, value in zip(out, (doc_id, start, length, n, sequence, offset, ids[start : start + length].tobytes()), strict=True):
+                    out[key].append(value)
+                start += length
+            held += n
+            if held > 1 << 21:
+                yield _record(out)
+                held, out = 0, {c: [] for c in out}
+        yield _record(out)
 
 
 def _record(out: dict[str, list]) -> pa.RecordBatch:

@@ -3,14 +3,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioscope.llm import packing, wavelet
+from folioscope.llm import common, packing, wavelet
 from folioscope.llm.common import fresh_path, written
-from folioscope.llm.encoding import PieceEncoder
+from folioscope.llm.encoding import PieceEncoder, shared_encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = st.lists(st.text(st.sampled_from(list("ab Zé\n\n  \t'.,3ß  \x1c\x85ñ‰한😀ΣḰ-")) | st.characters(codec="utf-8"), max_size=40), max_size=6)
@@ -94,3 +95,13 @@ def test_empty_tables(spark, docs):
     manifest = written(wavelet.write_shards(docs([]), BYTE, fresh_path(spark, "t")), "t")
     assert wavelet.read_shards(manifest).count() == 0
     assert packing.pack(docs([]), WORD).count() == 0
+
+
+def test_cutting_begins_without_the_encoder_that_the_worker_held():
+    ids = np.arange(5000, dtype="<u2")
+    batch = pa.record_batch({"doc_id": pa.array([1]), "at": pa.array([100]), "n": pa.array([5000]), "width": pa.array([2], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary())})
+    shared_encoder(WORD, 1, False)(["some words"])
+    pieces = pa.Table.from_batches(packing.cut(iter([batch]))).to_pylist()
+    assert [(p["sequence_id"], p["offset"], p["length"]) for p in pieces] == [(0, 100, 1948), (1, 0, 2048), (2, 0, 1004)]
+    assert b"".join(p["ids"] for p in pieces) == ids.astype("<u4").tobytes()
+    assert "encoding" not in common._CACHES
