@@ -181,3 +181,14 @@ def test_a_group_that_shares_its_keys_is_joined_by_representative(spark):
         rows.append((i, x))
     out, links = chroma.align(media(spark, rows), limit=8)
     assert {r.component_id for r in out.collect()} == {0} and links.count() < 5 * 90
+
+
+def test_a_crowd_has_all_links_whatever_the_limit(spark):
+    rng = np.random.default_rng(7)
+    base, rows = pcm(tune(rng, 5)), []
+    for i in range(45):
+        x = base.copy()
+        x[30_000:] = pcm(tune(rng, 5))[30_000:]
+        rows.append((i, x))
+    few, many = ({(r["query"], r["class"], r["offset"]) for r in chroma.align(media(spark, rows), limit=k)[1].collect()} for k in (8, 1000))
+    assert few == many == {(q, v, 0) for q in (0, 20, 40) for v in range(45) if q != v}
