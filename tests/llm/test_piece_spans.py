@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceNormalizer, SentencePieceProcessor, sentencepiece_model_pb2
 
-from folioscope.llm import piece_spans
+from folioscope.llm import encoding, piece_spans
 from folioscope.llm.piece_spans import SpanEncoder
 
 FILE = public_tokenizers.path("piece_bpe_32k.model")
@@ -81,6 +81,17 @@ def test_spans_cut_the_text(docs):
     assert b"".join(text.encode()[a:b] for a, b in zip(begins, ends, strict=True)) == text.encode()
 
 
+def test_freed_memory_goes_back_between_calls(monkeypatch):
+    # the encoder of parts has an __init__ of its own, and counts its calls like the one it is made from
+    tidied = []
+    monkeypatch.setattr(encoding, "give_back", lambda: tidied.append(1))
+    spans = SpanEncoder(FILE, 100)
+    for _ in range(2 * encoding.TIDY_CALLS):
+        ids, _, _, n = spans(["Hello  world", None])
+        assert len(ids) == n.sum() and len(n) == 2
+    assert len(tidied) == 2
+
+
 def test_refuses_what_it_does_not_know():
     proto = sentencepiece_model_pb2.ModelProto.FromString(open(FILE, "rb").read())
     proto.pieces[500].type = piece_spans.USER_DEFINED
