@@ -26,3 +26,15 @@ def test_references_of_five_digits_are_no_pages_in_query_and_sql(spark, tmp_path
     got, want = both(spark, tmp_path, "printed_contents")
     assert got == want and len(got) > 10
     assert any(".... 100" in r and "None" in r for r in got)
+
+
+def test_all_headings_of_a_book_count(spark, tmp_path):
+    letters = "bcdfghjklm"
+    word = lambda n: "".join(letters[int(d)] + "a" for d in str(n))  # noqa: E731  digits would not tell lines apart
+    texts = ["\n".join(f"{word(9 * i + k)} river {word(7 * i + k)} mountain" for k in range(8)) for i in range(700)]
+    table = {"doc_id": range(700), "text": texts, "lang": ["en"] * 700, "source": ["a"] * 690 + ["b"] * 10, "n_chars": [len(t) for t in texts]}
+    pq.write_table(pa.table({k: list(v) for k, v in table.items()}), tmp_path / "documents.parquet")
+    got, want = both(spark, tmp_path, "typographic_headings")
+    assert got == want and len(got) > 510
+    got, want = both(spark, tmp_path, "detect_statistics")
+    assert got == want and len(got) == 2
