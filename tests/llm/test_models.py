@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.llm import chroma, maxent_lm, toxicity, vamana
@@ -192,3 +193,20 @@ def test_a_crowd_has_all_links_whatever_the_limit(spark):
         rows.append((i, x))
     few, many = ({(r["query"], r["class"], r["offset"]) for r in chroma.align(media(spark, rows), limit=k)[1].collect()} for k in (8, 1000))
     assert few == many == {(q, v, 0) for q in (0, 20, 40) for v in range(45) if q != v}
+
+
+@pytest.mark.parametrize("limit", [0, 1, 1000])
+def test_all_places_of_a_key_count(spark, limit):
+    rng = np.random.default_rng(8)
+    some = lambda n: rng.integers(0, 1 << 32, n, np.uint32)
+    passage = some(12)
+    query = np.concatenate([some(20), passage, some(20)])
+    thrice = np.concatenate([some(5), passage, some(30), passage, some(9), passage, some(3)])
+    held, short = np.concatenate([some(4), np.full(50, 7, np.uint32), some(6)]), np.concatenate([some(7), np.full(20, 7, np.uint32), some(2)])
+    rows = [(i, len(p), q, p.astype("<u4").tobytes()) for i, (p, q) in enumerate([(query, 0), (thrice, None), (held, 20), (short, None)])]
+    classes = spark.createDataFrame(rows, "v long, n long, q long, prints binary")
+    met, crowded = chroma.candidates(chroma.postings(classes, np.zeros(chroma.CELLS, bool)), limit)
+    got = {(r.q, r.v, r.vp - r.qp) for r in met.collect()} | {tuple(r) for r in crowded.collect()}
+    assert {(0, 1, o) for o in (5 - 20, 47 - 20, 68 - 20)} <= got
+    # four equal integers begin at places 4 to 50 of the held one, and at winnowed places 10 to 23 of the short one
+    assert {(2, 3, o) for o in range(10 - 50, 23 - 4 + 1)} <= got
