@@ -89,3 +89,22 @@ def test_file_results_are_handed_on_by_bytes(spark):
     counted = seen.mapInArrow(lambda stream: (pa.record_batch({"n": pa.array([b.num_rows], pa.int64())}) for b in stream), "n long").collect()
     assert sum(r.n for r in counted) == 40
     assert {r.n for r in archive.entry_texts(entries).selectExpr("length(text) as n").collect()} == {2_000_003}
+
+
+def test_object_streams_and_fonts_are_read_once_for_all_pages(monkeypatch):
+    inflated, fonts = [], []
+    inflate, font = pdf.inflate, pdf._Font.__init__
+    monkeypatch.setattr(pdf, "inflate", lambda raw: inflated.append(1) or inflate(raw))
+    monkeypatch.setattr(pdf._Font, "__init__", lambda self, *args: fonts.append(1) or font(self, *args))
+    made = [[f"page {i}"] for i in range(40)]
+    found = pdf.Pdf.open(files.pdf_file(made, True))
+    assert [[t[0] for t in pdf.page_fragments(found, page)] for _, page in found.pages()] == made
+    # the cross-reference stream, the object stream, and the contents of every other page
+    assert len(inflated) == 2 + 20 and len(fonts) == 1
+
+
+def test_texts_are_cut_once_and_by_all_cores(spark):
+    docs = spark.createDataFrame([(1, "w " * 2050)], "doc_id long, text string").coalesce(1)
+    assert files.pdf_files(docs).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = files.written_outlines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan and not any("lambdafunction(array_join" in line for line in plan.splitlines() if "Filter" in line)
