@@ -117,3 +117,27 @@ def test_entries_of_one_key_meet_lines_once_and_places_are_the_best(spark):
         best.setdefault(x.entry_idx, {}).setdefault(x.page_index, []).append(round(score, 6))
     want = {(i, n): (p, -s) for i, pages in best.items() for n, (s, p) in enumerate(sorted((-max(v), p) for p, v in pages.items())[:8])}
     assert got == want and len(got) == 320
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_surest_pairs_equal_the_product(spark, seed):
+    r = random.Random(seed)
+    some = lambda n: " ".join(r.choice(WORDS[: 5 if seed else 12] + ["mountainous winds of the north"]) for _ in range(r.randint(0, n)))
+    entries = [(1, i, some(6), i + 1, False) for i in range(40)]
+    index = [(1, p, i, 0, k, [w for w in k.split() if len(w) > 2], k, "b", 1.0, 1.0, 10.0, 0.5, False) for p in range(4) for i in range(15) if (k := some(6))]
+    index += [(1, 9, i, 0, f"{t} and on", [w for w in f"{t} and on".split() if len(w) > 2], t, "b", 1.0, 1.0, 10.0, 0.5, False) for _, i, t, _, _ in entries if t]
+    e = spark.createDataFrame(entries, "doc_id long, entry_idx int, title string, printed int, roman boolean")
+    ix = spark.createDataFrame(index, INDEX)
+    columns = ["doc_id", "entry_idx", "page_index", "line_idx", "part", "sim"]
+    keyed = e.select("doc_id", "entry_idx", T.title_key(F.col("title")).alias("e_k"), T.tokens(F.col("title")).alias("e_toks"))
+    want = keyed.join(ix, "doc_id").withColumn("sim", locate.similarity(F.col("e_k"), F.col("e_toks"), F.col("k"), F.col("toks"))).filter(F.col("sim") >= locate.SUREST).select(columns)
+    own = locate.entry_keys(e)
+    got = locate.similar_keys(own, ix, locate.SUREST).join(own.drop("doc_id"), "e_id").select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 30
+
+
+def test_fewer_words_of_entries_are_asked_for_where_more_have_to_be_shared(spark):
+    e = spark.createDataFrame([(1, 0, ["ice", "winds", "and", "the", "sea"]), (1, 1, ["sea", "sea", "sea"])], "doc_id long, entry_idx int, e_toks array<string>")
+    words = spark.createDataFrame([(1, t, n) for n, t in enumerate(["ice", "winds", "sea", "and", "the"], 1)], "doc_id long, t string, lines long")
+    asked = lambda **more: sorted((r.entry_idx, r.t) for r in locate.rare_tokens(e, words, **more).collect())
+    assert asked() == [(0, "ice"), (0, "sea"), (0, "winds"), (1, "sea")] and asked(once=0.9) == [(0, "ice"), (1, "sea")]
